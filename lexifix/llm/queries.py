@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .hilbert import op1_hilbert_sharding
+from .line_crf import op3_line_crf
 from .line_rules import OP5_SQL, op5_line_frequency
 from .mixing import OP2_SQL, op2_poisson_mixing
+from .simhash import op8_pivot_simhash
 
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_poisson_mixing": op2_poisson_mixing,
+    "op3_line_crf": op3_line_crf,
     "op5_line_frequency": op5_line_frequency,
+    "op8_pivot_simhash": op8_pivot_simhash,
 }
 
 ORACLE_SQL = {
