@@ -7,6 +7,7 @@ from .line_crf import op3_line_crf
 from .line_rules import OP5_SQL, op5_line_frequency
 from .mixing import OP2_SQL, op2_poisson_mixing
 from .simhash import op8_pivot_simhash
+from .token_store import op10_content_store
 
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_line_crf": op3_line_crf,
     "op5_line_frequency": op5_line_frequency,
     "op8_pivot_simhash": op8_pivot_simhash,
+    "op10_content_store": op10_content_store,
 }
 
 ORACLE_SQL = {
