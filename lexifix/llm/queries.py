@@ -6,6 +6,7 @@ from .hilbert import op1_hilbert_sharding
 from .line_crf import op3_line_crf
 from .line_rules import OP5_SQL, op5_line_frequency
 from .mixing import OP2_SQL, op2_poisson_mixing
+from .packing import op7_lexical_packing
 from .simhash import op8_pivot_simhash
 from .token_store import op10_content_store
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_poisson_mixing": op2_poisson_mixing,
     "op3_line_crf": op3_line_crf,
     "op5_line_frequency": op5_line_frequency,
+    "op7_lexical_packing": op7_lexical_packing,
     "op8_pivot_simhash": op8_pivot_simhash,
     "op10_content_store": op10_content_store,
 }
