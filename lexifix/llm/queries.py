@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .arc_to_warc import OP9_SQL, op9_arc_to_warc
 from .hilbert import op1_hilbert_sharding
 from .line_crf import op3_line_crf
 from .line_rules import OP5_SQL, op5_line_frequency
@@ -17,10 +18,12 @@ QUERIES = {
     "op5_line_frequency": op5_line_frequency,
     "op7_lexical_packing": op7_lexical_packing,
     "op8_pivot_simhash": op8_pivot_simhash,
+    "op9_arc_to_warc": op9_arc_to_warc,
     "op10_content_store": op10_content_store,
 }
 
 ORACLE_SQL = {
     "op2_poisson_mixing": OP2_SQL,
     "op5_line_frequency": OP5_SQL,
+    "op9_arc_to_warc": OP9_SQL,
 }
