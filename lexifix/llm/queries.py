@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .arc_to_warc import OP9_SQL, op9_arc_to_warc
+from .block_topk import OP6_SQL, op6_block_topk
 from .hilbert import op1_hilbert_sharding
 from .line_crf import op3_line_crf
 from .line_rules import OP5_SQL, op5_line_frequency
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_poisson_mixing": op2_poisson_mixing,
     "op3_line_crf": op3_line_crf,
     "op5_line_frequency": op5_line_frequency,
+    "op6_block_topk": op6_block_topk,
     "op7_lexical_packing": op7_lexical_packing,
     "op8_pivot_simhash": op8_pivot_simhash,
     "op9_arc_to_warc": op9_arc_to_warc,
@@ -25,5 +27,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_poisson_mixing": OP2_SQL,
     "op5_line_frequency": OP5_SQL,
+    "op6_block_topk": OP6_SQL,
     "op9_arc_to_warc": OP9_SQL,
 }
