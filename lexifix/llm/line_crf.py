@@ -253,6 +253,12 @@ def with_score(df: DataFrame, model: LineCrf, text_col: str = "text", name: str
     return df.withColumn(name, scored(F.col(text_col)))
 
 
+def good_documents(df: DataFrame, model: LineCrf, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Rows of ``df`` whose score is at least the threshold; names in ``df`` can't clash."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    return with_score(rows, model, "_text", "_score").where(F.col("_score") >= threshold).select("_row.*")
+
+
 def op3_line_crf(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents, learnt from labels of documents outside the held-out fold."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

@@ -143,17 +143,40 @@ def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.drop("_t", "_trimmed", "_ws", "_hw", "_win", "_sorted", "_twice", "_lines")
 
 
-def quality_rules(df: DataFrame, **limits) -> DataFrame:
-    """``df`` with the base features, ``base_failed``, ``kept`` and ``_kept_text``."""
-    judged = base_features(line_frequency_verdict(df, **limits), limits.get("text_col", "text"))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("_depleted")).drop("_depleted")
+def quality_rules(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: float
+) -> DataFrame:
+    """One row per row of ``df``: the row itself as the struct ``_row``, its base features, ``base_failed``, ``kept``
+    and ``_kept_text``; names in ``df`` can't clash. ``limits``: max_share, min_docs, min_left."""
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+        F.col(id_col).alias("_id"),
+        F.col(text_col).alias("_text"),
+        F.col(host_col).alias("_from"),
+    )
+    judged = base_features(line_frequency_verdict(rows, "_id", "_text", "_from", **limits), "_text")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_kept_text"]
+    kept = (~F.col("base_failed") & ~F.col("_depleted")).alias("kept")
+    # a generator: filters on its output aren't pushed below, where each would be unfolded into all it is made of
+    return judged.select("_row", F.inline(F.array(F.struct(*names, kept))))
+
+
+def clean_documents(df: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", **names) -> DataFrame:
+    """Rows of ``df`` that the rules keep, without removed lines; ``size_col``, if there, counts the text's characters."""
+    out = quality_rules(df, text_col=text_col, **names).where("kept").select("_row.*", "_kept_text")
+    changed = F.col("_kept_text") != F.coalesce(F.col(text_col), F.lit(""))
+    new = {text_col: F.when(changed, F.col("_kept_text")).otherwise(F.col(text_col))}
+    if size_col in df.columns:
+        kind = df.schema[size_col].dataType
+        new[size_col] = F.when(changed, F.length("_kept_text").cast(kind)).otherwise(F.col(size_col))
+    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def op5_line_frequency(spark, sf_dir: str) -> DataFrame:
     """Quality rules on all documents, hosts being their sources."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_rules(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        F.col("_row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .arc_to_warc import OP9_SQL, op9_arc_to_warc
 from .block_topk import OP6_SQL, op6_block_topk
 from .hilbert import op1_hilbert_sharding
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_pivot_simhash": op8_pivot_simhash,
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_content_store": op10_content_store,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
