@@ -26,9 +26,17 @@ def _matches(queries: DataFrame, d: Dictionary, reach: int, closest_only: bool)
         open_ = open_.join(known, F.col("q") == F.col("_known"), "left_anti")
     probes = open_.select("q", "k", F.explode(deletes("q", "k", d.config.prefix_length)).alias("del"))
     near = (F.abs(F.length("q") - F.length("term")) <= F.col("k")) & (F.col("q") != F.col("term"))
-    pairs = probes.join(d.index, "del").where(near).select("q", "k", "term", "count").distinct()
-    close = F.expr(f"levenshtein(q, term, {2 * reach})").between(0, 2 * reach)
-    fuzzy = pairs.where(close).withColumn("distance", osa("q", "term", "k" if reach > 1 else reach))
+    pairs = probes.join(d.index, "del").where(near).withColumn("lev", F.expr(f"levenshtein(q, term, {2 * reach})"))
+    pairs = pairs.where(F.col("lev").between(0, 2 * F.col("k"))).select("q", "k", "term", "count", "lev")
+    if closest_only and reach > 1:
+        # the distance is at least half of lev and at most lev, so what can't reach the best needs no exact distance;
+        # one shuffle serves the deduplication and the window
+        pairs = pairs.repartition("q", "k").distinct()
+        least = F.min("lev").over(Window.partitionBy("q", "k"))
+        pairs = pairs.withColumn("_least", least).where((F.col("lev") + 1) / 2 < F.col("_least") + 1).drop("_least")
+    else:
+        pairs = pairs.distinct()
+    fuzzy = pairs.withColumn("distance", osa("q", "term", "k" if reach > 1 else reach))
     fuzzy = fuzzy.where(F.col("distance").isNotNull()).select("q", "k", "term", "distance", "count")
     return exact.unionByName(fuzzy)
 
