@@ -100,13 +100,8 @@ def osa(a: str, b: str, limit: str | int | None = None) -> Column:
     return F.expr(near)
 
 
-def transfer_case(source: str, target: str) -> Column:
-    """The target with the letter case of the source, place by place (columns by name).
-
-    Equal but for ASCII case: the source. A capital in the source capitalises its place and, from the second place on,
-    what follows a source shorter than the target; white space in the source keeps that up for a letter against it.
-    """
-    s, t = _sql(source), _sql(target)
+def transfer_case_expr(s: str, t: str) -> str:
+    """SQL for ``transfer_case`` of two SQL strings."""
     ascii_lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     step = (
         f"transform(array(named_struct('c', substr({s}, i, 1), 't', substr({t}, i, 1))), x -> CASE"
@@ -117,9 +112,16 @@ def transfer_case(source: str, target: str) -> Column:
         " ELSE named_struct('out', concat(a.out, x.t), 'up', false) END)[0]"
     )
     walk = f"aggregate(sequence(1, length({t})), named_struct('out', '', 'up', false), (a, i) -> {step}, a -> a.out)"
-    return F.expr(
-        f"CASE WHEN {ascii_lower.format(s)} = {ascii_lower.format(t)} THEN {s} WHEN length({t}) = 0 THEN '' ELSE {walk} END"
-    )
+    return f"CASE WHEN {ascii_lower.format(s)} = {ascii_lower.format(t)} THEN {s} WHEN length({t}) = 0 THEN '' ELSE {walk} END"
+
+
+def transfer_case(source: str, target: str) -> Column:
+    """The target with the letter case of the source, place by place (columns by name).
+
+    Equal but for ASCII case: the source. A capital in the source capitalises its place and, from the second place on,
+    what follows a source shorter than the target; white space in the source keeps that up for a letter against it.
+    """
+    return F.expr(transfer_case_expr(_sql(source), _sql(target)))
 
 
 @F.arrow_udf(T.StringType())
@@ -134,4 +136,9 @@ def nfkc(text: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """``lexifix_osa(a, b)`` and ``lexifix_transfer_case(source, target)`` as temporary SQL functions."""
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION lexifix_osa(a STRING, b STRING) RETURNS INT RETURN {osa_expr('a', 'b')}")
+    bodies = {
+        "lexifix_osa(a STRING, b STRING) RETURNS INT": osa_expr("a", "b"),
+        "lexifix_transfer_case(source STRING, target STRING) RETURNS STRING": transfer_case_expr("source", "target"),
+    }
+    for head, body in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -78,3 +78,4 @@ def test_nfkc(spark):
 def test_sql_function(spark):
     register(spark)
     assert spark.sql("SELECT lexifix_osa('ca', 'abc')").first()[0] == 3
+    assert spark.sql("SELECT lexifix_transfer_case('HeLLo WoRLd!', 'rustacean community!')").first()[0] == "RuSTacEaN community!"
