@@ -10,6 +10,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.shipping import ensure_shipped
+
 ALNUM = r"\p{IsAlphabetic}\p{N}"
 WORD_CHARS = ALNUM + "_'’"
 
@@ -131,6 +133,7 @@ def _nfkc(texts: pa.Array) -> pa.Array:
 
 def nfkc(text: Column) -> Column:
     """Unicode normalization form KC, for which Spark has no function."""
+    ensure_shipped(SparkSession.getActiveSession())
     return _nfkc(text)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nfkc, transfer_case
 from ..plans.config import Verbosity
+from ..plans.shipping import ensure_shipped
 from .dictionary import Dictionary
 from .lookup import suggest
 
@@ -65,6 +66,7 @@ def word_segmentation(
     Every part of up to the longest term's length is looked up, equal parts once; the path over them is a fold for each
     distinct text. Without a dictionary the result is empty.
     """
+    ensure_shipped(inputs.sparkSession)
     k = d.config.max_edit_distance if k is None else k
     reach = d.config.reach(k, None)
     rows = inputs.select(F.col(id_col).alias("id"), F.col(input_col).alias("input"))
