@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ensure_shipped
+
 #: White space of the word rule, as a Java or Python character class body.
 WS = r"\x20\x09-\x0D"
 
@@ -18,11 +20,13 @@ HOT_PARTS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ensure_shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    ensure_shipped(spark)
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:

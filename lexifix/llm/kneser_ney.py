@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ensure_shipped
 from .common import fold_of, local_path, partitions, read, shared_dir, written
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -283,6 +284,7 @@ def discount_of(counts: np.ndarray, d: list[float]) -> np.ndarray:
 def train(docs: DataFrame, folder: str, text_col: str = "text") -> dict:
     """Count all rows of ``docs`` into ``folder`` (a shared folder's URI); the model's manifest, also written there."""
     spark, target = docs.sparkSession, local_path(folder)
+    ensure_shipped(spark)
     bits = max(1, min(16, (partitions(spark) - 1).bit_length()))
     texts = docs.select(text_col)
     words = texts.mapInArrow(_count_words(bits), _PARTS)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.shipping import ensure_shipped
 from .common import fold_of, read
 
 #: Bounds of the training sample: documents of each label, chains of a document, lines of a chain.
@@ -227,6 +228,7 @@ def train(
     n_docs: int = TRAIN_DOCS,
 ) -> LineCrf:
     """Fit on up to ``n_docs`` documents of each label, the first by hashed id, none of the held-out fold."""
+    ensure_shipped(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     marked = marked.where((fold_of("id", folds) != held_out) & F.col("id").isNotNull())
     parts = [
@@ -246,6 +248,7 @@ def train(
 def with_score(df: DataFrame, model: LineCrf, text_col: str = "text", name: str = "score") -> DataFrame:
     """Add the quality score of every row; null and empty texts have the score of an undecided document."""
 
+    ensure_shipped(df.sparkSession)
     @F.arrow_udf(T.DoubleType())
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array([model.score(t.as_py()) for t in texts], pa.float64())

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ensure_shipped
 from .common import crc32_text, read
 from .tokens import encoder, token_bytes
 
@@ -160,6 +161,7 @@ def pack_documents(
     Null and empty texts hold the end id only. Rows that share an id, repeated rows too, are documents of their own.
     ``with_ids`` adds the pieces' ids as little-endian unsigned 32-bit numbers. An empty table gives no pieces.
     """
+    ensure_shipped(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = df.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
     n_shards = max(1, -(-total // shard_bytes))

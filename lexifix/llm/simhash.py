@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.shipping import ensure_shipped
 from .common import lookup, read, written
 
 SHINGLE = 3
@@ -80,6 +81,7 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", name: str = "fp") -> DataFrame:
     """Add the fingerprint as a signed 64-bit number; null texts count as empty."""
+    ensure_shipped(df.sparkSession)
     return df.withColumn(name, _fingerprints(F.col(text_col)))
 
 
