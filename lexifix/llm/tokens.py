@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces of a generation of the cache; the two youngest generations are kept.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
+#: New pieces that the library encodes as one text.
+JOINED = 128
+#: Stands between pieces where spaces leave no trace in the ids; a piece that has it is encoded alone.
+MARK = "\x01"
 #: Longer pieces aren't cached.
 CACHE_CHARS = 64
 
 _BREAK = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?!\S)")
 
 
 class PieceEncoder:
@@ -34,24 +37,51 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[str | None, bytes] = self._fresh()
+        self.old: dict[str | None, bytes] = {}
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        size = self.tokenizer.get_vocab_size()
+        opens = np.zeros(size, bool)
+        if spaced:  # ids that begin with the byte of a space
+            opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        else:
+            opens[self.tokenizer.encode(MARK, add_special_tokens=False).ids] = True
+        self.opens = opens
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.batch(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.young) > CACHE_PIECES:
-            self.young, self.old = {"": b""}, self.young
-        new = pieces.difference(self.young)
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, with their leading spaces; ``JOINED`` at a time where the ids show where a piece begins."""
+        alone = " " if self.spaced else MARK
+        plain = [p for p in pieces if alone not in p]
+        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        join = " " if self.spaced else f" {MARK} "
+        texts = [join + join.join(g) for g in groups]
+        found, width, skip = {}, self.dtype.itemsize, 0 if self.spaced else 1
+        for group, e in zip(groups, self.batch(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(group) or at[0]:
+                continue  # its pieces are encoded one by one below
+            raw, ends = ids.tobytes(), [*at[1:].tolist(), len(ids)]
+            for p, i, j in zip(group, at.tolist(), ends):
+                found[p] = raw[(i + skip) * width : j * width]
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self._raw([" " + p for p in rest] if self.spaced else rest)))
+        return [found[p] for p in pieces]
+
+    def _fresh(self) -> dict[str | None, bytes]:
+        return {None: b""} if self.spaced else {None: b"", "": b""}
+
+    def _learn(self, new: set[str]) -> None:
         again = new.intersection(self.old)
         for p in again:
             self.young[p] = self.old[p]
         fresh = list(new - again)
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            self.young.update(zip(part, self._raw([" " + p for p in part] if self.spaced else part)))
+        for at in range(0, len(fresh), 100 * JOINED):
+            part = fresh[at : at + 100 * JOINED]
+            self.young.update(zip(part, self._pieces(part)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -64,30 +94,43 @@ class PieceEncoder:
         return out
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        split, whole, heads, known = [], [], [], set()
-        for k, text in enumerate(texts):
-            if "<|" in text:
-                split.append(None)
-                whole.append(k)
-                continue
-            pieces = text.split(" ") if not self.spaced or _ODD.search(text) is None else _BREAK.split(text)
-            if self.spaced:
-                heads.append(pieces[0])
-                pieces[0] = ""
-            split.append(pieces)
-            known.update(pieces)
-        lone = {p for p in known if len(p) > CACHE_CHARS}
-        self._learn(known - lone)
-        look = self.young
-        if lone:
-            lone = list(lone)
-            look = look | dict(zip(lone, self._raw([" " + p for p in lone] if self.spaced else lone)))
-        first = iter(self._raw(heads)) if self.spaced else None
-        direct = iter(self._raw([texts[k] for k in whole])) if whole else None
-        get = look.__getitem__
-        return [
-            next(direct) if p is None else (next(first) if self.spaced else b"") + b"".join(map(get, p)) for p in split
-        ]
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = self._fresh(), self.young
+        split = [None if "<|" in text else text.split(" ") for text in texts]
+        whole = [k for k, pieces in enumerate(split) if pieces is None]
+        known: set[str] = set()
+        for pieces in split:
+            if pieces is not None:
+                known.update(pieces)
+        new = known.difference(self.young)
+        if self.spaced and any(_odd(p) for p in new):  # such pieces are never learnt, so they are always new
+            for k, pieces in enumerate(split):
+                if pieces is not None and any(map(_odd, pieces)):
+                    split[k] = _BREAK.split(texts[k])
+            new = set().union(*(p for p in split if p is not None)).difference(self.young)
+        heads = [p[0] for p in split if p is not None] if self.spaced else []
+        long_ones = [p for p in new if len(p) > CACHE_CHARS]
+        self._learn(new.difference(long_ones))
+        self.young.update(zip(long_ones, self._pieces(long_ones)))
+        first, direct = iter(self._raw(heads)), iter(self._raw([texts[k] for k in whole]))
+        get = self.young.__getitem__
+        out = []
+        for pieces in split:
+            if pieces is None:
+                out.append(next(direct))
+            elif self.spaced:
+                pieces[0] = None  # stands for no ids; the head has no space before it
+                out.append(next(first) + b"".join(map(get, pieces)))
+            else:
+                out.append(b"".join(map(get, pieces)))
+        for p in long_ones:
+            del self.young[p]
+        return out
+
+
+def _odd(piece: str) -> bool:
+    """A piece that a space before it wouldn't belong to."""
+    return not piece or piece[0].isspace()
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
