@@ -47,18 +47,22 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: after ids where the rolling hash hits, within the least and greatest length."""
-    n = len(ids)
-    if n <= MIN_CHUNK:
-        return [n] if n else []
-    h = _mixed(ids)
+_table = _mixed(np.arange(1 << 16))
+
+
+def window_hits(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last ids hits."""
+    h = _table[ids] if ids.dtype.itemsize == 2 else _mixed(ids)
     for k in range(WINDOW_DOUBLINGS):  # h[i] = sum of mixed(ids[i - j]) << j
         step = 1 << k
         h[step:] = h[step:] + (h[:-step] << np.uint64(step))
-    hits = np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN_CHUNK) == 0) + 1
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64(MEAN_CHUNK - 1) == 0) + 1
+
+
+def ends_of(hits: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids, within the least and greatest length."""
     ends, last = [], 0
-    for hit in hits.tolist():
+    for hit in hits:
         while hit - last > MAX_CHUNK:
             last += MAX_CHUNK
             ends.append(last)
@@ -73,6 +77,22 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cut_points(ids: np.ndarray) -> list[int]:
+    return ends_of(window_hits(ids).tolist(), len(ids)) if len(ids) else []
+
+
+def cut_documents(docs: list[np.ndarray]) -> list[list[int]]:
+    """Each document's cut points, hashed together: a window reaches into the document before for hits only that come
+    sooner than the least chunk, and those don't cut."""
+    bounds = np.cumsum([0, *map(len, docs)])
+    hits = window_hits(np.concatenate(docs))
+    places = np.searchsorted(hits, bounds, "right").tolist()
+    return [
+        ends_of((hits[places[k] : places[k + 1]] - bounds[k]).tolist(), len(d)) if len(d) > MIN_CHUNK else [len(d)]
+        for k, d in enumerate(docs)
+    ]
+
+
 def name_of(ids: bytes) -> bytes:
     return hashlib.blake2b(ids, digest_size=16).digest()
 
@@ -121,10 +141,11 @@ def _stage(folder: str, tokenizer: str, spaced: bool):
             rows = [[] for _ in range(9)]
             doc_ids, rids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             blobs = enc.encode([t or "" for t in batch.column(2).to_pylist()])
-            for doc_id, rid, blob in zip(doc_ids, rids, blobs):
-                ids = np.concatenate([np.frombuffer(blob, enc.dtype), end])
+            tail = end.tobytes()
+            docs = [np.frombuffer(blob + tail, enc.dtype) for blob in blobs]
+            for doc_id, rid, ids, stops in zip(doc_ids, rids, docs, cut_documents(docs) if docs else []):
                 start = 0
-                for seq, stop in enumerate(cut_points(ids)):
+                for seq, stop in enumerate(stops):
                     raw = ids[start:stop].astype("<u4").tobytes()
                     name = name_of(raw)
                     if name not in known:

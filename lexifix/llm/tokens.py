@@ -39,6 +39,7 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.young: dict[str | None, bytes] = self._fresh()
         self.old: dict[str | None, bytes] = {}
+        self.head: dict[str, bytes] = {}
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         size = self.tokenizer.get_vocab_size()
         opens = np.zeros(size, bool)
@@ -51,6 +52,15 @@ class PieceEncoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.batch(texts, add_special_tokens=False)]
 
+    def _heads(self, heads: list[str]) -> list[bytes]:
+        """Ids of texts' beginnings, which have no space before them."""
+        if len(self.head) > CACHE_PIECES // 8:
+            self.head = {}
+        new = [h for h in dict.fromkeys(heads) if h not in self.head]
+        found = dict(zip(new, self._raw(new)))
+        self.head.update((h, b) for h, b in found.items() if len(h) <= CACHE_CHARS)
+        return [found[h] if h in found else self.head[h] for h in heads]
+
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, with their leading spaces; ``JOINED`` at a time where the ids show where a piece begins."""
         alone = " " if self.spaced else MARK
@@ -112,7 +122,7 @@ class PieceEncoder:
         long_ones = [p for p in new if len(p) > CACHE_CHARS]
         self._learn(new.difference(long_ones))
         self.young.update(zip(long_ones, self._pieces(long_ones)))
-        first, direct = iter(self._raw(heads)), iter(self._raw([texts[k] for k in whole]))
+        first, direct = iter(self._heads(heads)), iter(self._raw([texts[k] for k in whole]))
         get = self.young.__getitem__
         out = []
         for pieces in split:
