@@ -43,6 +43,8 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs
 #: Bytes of one ARC file as made from tables, about.
 ARC_BYTES = 4 << 20
 GZIP_LEVEL = 1
+#: Lists of up to so many revisits in all (some 30 MB) are broadcast to the archives.
+BROADCAST_REVISITS = 200_000
 
 
 @dataclass(frozen=True)
@@ -266,7 +268,10 @@ def convert(arcs: DataFrame, folder: str) -> DataFrame:
             )
         ).alias("revisits")
     )
-    rows = arcs.join(by_file, "name", "left").select("name", "data", "revisits")
+    by_file = written(by_file, "revisits")
+    size = by_file.agg(F.sum(F.size("revisits"))).first()[0] or 0
+    lists = F.broadcast(by_file) if size <= BROADCAST_REVISITS else by_file  # beyond, the archives are shuffled
+    rows = arcs.join(lists, "name", "left").select("name", "data", "revisits")
     return written(rows.mapInArrow(_write_warcs(local_path(folder)), "file string"), "warc-files")
 
 

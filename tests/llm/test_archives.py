@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from lexifix.llm import arc_to_warc
 from lexifix.llm.arc_to_warc import (
     ArcRecord,
     arc_header,
@@ -65,7 +66,9 @@ def expected(pages):
     return sorted(out, key=str)
 
 
-def test_pages_there_and_back(spark):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_pages_there_and_back(spark, monkeypatch, limit):
+    monkeypatch.setattr(arc_to_warc, "BROADCAST_REVISITS", limit)
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
     folder = shared_dir(spark, "warc-test")
     files = convert(pages_to_arc(df), folder)
