@@ -96,6 +96,7 @@ def lookup_compound(
         ).alias("i", "x"),
     ).select("input", "i", "x.w", "x.joined")
     hits = _top(words.select(F.explode(F.array("w", "joined")).alias("w")).where("w IS NOT NULL"), d, k, thresholds, reach)
+    hits = hits.persist()  # read three times below; a lost part is looked up again
     single = words.select("w").distinct().join(hits, "w", "left")
     settled = F.col("hit").isNotNull() & ((F.col("hit.distance") == 0) | (F.length("w") == 1))
     settled = F.coalesce(settled, F.lit(False))
