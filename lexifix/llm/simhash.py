@@ -240,31 +240,54 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.union(pairs.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text_hash, fp) for every row, and per fingerprint its rows ``n``, component_id and component's ``root``."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
+    docs = written(with_fingerprint(docs).select("id", "text_hash", "fp"), "fingerprints")
+    fps = written(docs.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    labels = components(fingerprint_links(fps)).withColumnRenamed("node", "fp")
+    own = fps.join(labels, "fp")
+    own = written(own, "members")
+    roots = written(own.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("rows")), "roots")
+    found = lookup(own.drop("n"), roots, "root", "rows", F.col("fp")).select("fp", "root", "component_id")
+    table = fps.join(found, "fp", "left").select(
+        "fp", "n", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root")
+    )
+    return docs, written(table, "components")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for every row; component_id is the smallest id of the texts reachable over links.
 
     Null and empty texts have fingerprint 0 and link like others; a null id is larger than any; rows that share an id
     each get a row. Only the two columns are read, so other columns can't clash.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    docs = written(with_fingerprint(docs).select("id", "fp"), "fingerprints")
-    fps = written(docs.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
-    labels = components(fingerprint_links(fps)).withColumnRenamed("node", "fp")
-    own = fps.join(labels, "fp")
-    own = written(own, "members")
-    roots = written(own.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("rows")), "roots")
-    found = lookup(own, roots, "root", "rows", F.col("fp")).select("fp", "component_id")
-    table = fps.join(found, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
-    return lookup(docs, written(table, "components"), "fp", "n", F.xxhash64("id"))
+    docs, table = _grouped(df, id_col, text_col)
+    return lookup(docs.drop("text_hash"), table.drop("root"), "fp", "n", F.xxhash64("id"))
+
+
+def text_hash(text_col: str):
+    """Tells apart rows that share an id; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def keep_leads(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``df`` for each ``root`` of ``rows`` (id, text_hash, root): that with the smallest id, nulls last."""
+    least = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash"))).alias("m")
+    leads = rows.groupBy("root").agg(least).select(F.col("m.id").alias("_lead"), F.col("m.text_hash").alias("_lead_text"))
+    whole = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), text_hash(text_col).alias("_text")
+    )
+    kept = whole.join(leads, (F.col("_text") == F.col("_lead_text")) & F.col("_id").eqNullSafe(F.col("_lead")), "left_semi")
+    # rows equal in id and text are of one group
+    return kept.dropDuplicates(["_id", "_text"]).select("_row.*")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that lead their component; one row where several share the leading id."""
-    pairs = near_duplicates(df, id_col, text_col)
-    leads = pairs.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_lead")).distinct()
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"))
-    kept = rows.join(leads, F.col("_id").eqNullSafe(F.col("_lead")), "left_semi").dropDuplicates(["_id"])
-    return kept.select("_row.*")
+    """One row of ``df`` for each component, that with the smallest id, whatever ids the rows share or lack."""
+    docs, table = _grouped(df, id_col, text_col)
+    roots = lookup(docs, table.select("fp", "n", "root"), "fp", "n", F.xxhash64("id"))
+    return keep_leads(df, roots, id_col, text_col)
 
 
 def op8_pivot_simhash(spark, sf_dir: str) -> DataFrame:

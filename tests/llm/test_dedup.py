@@ -93,3 +93,11 @@ def test_odd_documents(spark):
         assert {r.doc_id for r in kept.collect()} == {r.component_id for r in rows}
         assert kept.count() == len({(r.component_id) for r in rows})
     assert near_duplicates(no_docs(spark)).count() == 0 and keep_first(no_docs(spark)).count() == 0
+
+
+def test_one_document_of_each_group(spark):
+    texts = {k: prose(60, k) for k in range(40, 46)}
+    rows = [(None, texts[40]), (None, texts[41]), (None, texts[42]), (None, texts[42]), (5, texts[43]), (5, texts[44]), (3, texts[45]), (5, texts[45])]
+    kept = keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[40]), (None, texts[41]), (None, texts[42]), (5, texts[43]), (5, texts[44]), (3, texts[45])]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
