@@ -6,7 +6,9 @@ import pytest
 import xxhash
 from helpers import no_docs, odd_docs, odd_rows, prose
 
-from lexifix.llm import simhash
+import corpus_pipeline
+from lexifix.llm import near_copies, simhash
+from lexifix.llm.near_copies import keep_one_of_similar, similar_groups
 from lexifix.llm.simhash import components, fingerprint, fingerprint_links, keep_first, link, near_duplicates, pivots
 
 
@@ -101,3 +103,62 @@ def test_one_document_of_each_group(spark):
     kept = keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(None, texts[40]), (None, texts[41]), (None, texts[42]), (5, texts[43]), (5, texts[44]), (3, texts[45])]
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
+def five_words(text):
+    w = re.split("[\x20\x09-\x0d]+", (text or "").strip("\x20\x09\x0a\x0b\x0c\x0d").lower())
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def edited():
+    """Texts around the limit: copies with some words changed, of one another too, and a passage that many share."""
+    rnd, rows = random.Random(8), []
+    passage = prose(40, 99)
+    for base in range(12):
+        words = prose(rnd.randint(60, 200), base).split()
+        for _ in range(9):
+            new = list(rnd.choice([words, rows[-1][1].split()]) if rows and rnd.random() < 0.3 else words)
+            for _ in range(rnd.randint(0, 6)):
+                new[rnd.randrange(len(new))] = f"x{rnd.randrange(999)}"
+            rows.append((len(rows), " ".join(new)))
+    rows += [(len(rows) + i, f"{passage} {prose(30, 200 + i)}") for i in range(20)]
+    rows += [(900 + i, t) for i, t in enumerate(["", None, " \n ", "One two", "one  two", "one two three"])]
+    return rows
+
+
+@pytest.mark.parametrize("sample", [10_000, 1])
+def test_similar_texts_against_brute_force(spark, monkeypatch, sample):
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    rows = edited()
+    sets = [five_words(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                parent[find(i)] = find(j)
+    want = {}
+    for i, (k, _) in enumerate(rows):
+        want.setdefault(find(i), []).append(k)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in similar_groups(df).collect():
+        got.setdefault(r.root, []).append(r.id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert 12 < len(want) < len(rows) - 30
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(map(min, want.values()))
+
+
+def test_similar_odd_documents(spark):
+    for extra in (False, True):
+        df = odd_docs(spark, extra)
+        kept = keep_one_of_similar(df)
+        assert kept.columns == df.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "5", "8", "None"]
+    assert keep_one_of_similar(no_docs(spark)).count() == 0
