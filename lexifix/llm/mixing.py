@@ -104,9 +104,10 @@ def poisson_mix(
 
 
 def op2_poisson_mixing(spark, sf_dir: str) -> DataFrame:
-    """Copies of documents for square-root weights of the sources: doc_id, source, n_copies, copy."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
-    return poisson_mix(docs, info=True).select("doc_id", "source", F.col("n_copies").cast("long"), F.col("copy").cast("long"))
+    """Copies of documents for square-root weights of the sources: doc_id, source, n_copies, copy of the written copies."""
+    # written whole, as Catalyst would drop the texts before the shuffle otherwise
+    mixed = written(poisson_mix(read(spark, sf_dir, "documents"), info=True), "mixed")
+    return mixed.select("doc_id", "source", F.col("n_copies").cast("long"), F.col("copy").cast("long"))
 
 
 OP2_SQL = """

@@ -6,6 +6,7 @@ import pytest
 from helpers import no_docs, odd_docs, odd_rows
 from pyspark.sql import functions as F
 
+from lexifix.llm import hilbert, mixing
 from lexifix.llm.hilbert import hilbert_index, hilbert_shards, shard_ranges, write_shards
 from lexifix.llm.mixing import poisson_mix, repetition_rates
 
@@ -84,3 +85,21 @@ def test_mixing_info_and_empty(spark):
     for r in rows:
         assert 1 <= r["copy"] <= r.n_copies
     assert poisson_mix(no_docs(spark)).count() == 0
+
+
+def test_queries_move_whole_documents(spark, monkeypatch, tmp_path):
+    odd_docs(spark, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {(r[0], r[1]) for r in odd_rows()}
+    seen = {}
+    keep_written, keep_shards = mixing.written, hilbert.write_shards
+    monkeypatch.setattr(mixing, "written", lambda df, label: seen.setdefault(label, keep_written(df, label)))
+    monkeypatch.setattr(hilbert, "write_shards", lambda df, path: (keep_shards(df, path), seen.setdefault("shards", path)))
+    narrow = mixing.op2_poisson_mixing(spark, str(tmp_path)).collect()
+    mixed = seen["mixed"].collect()
+    assert {(r.doc_id, r.text) for r in mixed} <= texts and len(mixed) == len(narrow) > 0
+    assert Counter((str(r.doc_id), r["copy"]) for r in mixed) == Counter((str(r.doc_id), r["copy"]) for r in narrow)
+    rows = hilbert.op1_hilbert_sharding(spark, str(tmp_path)).collect()
+    shards = spark.read.parquet(seen["shards"]).collect()
+    assert Counter((str(r.doc_id), str(r.text)) for r in shards) == Counter((str(r[0]), str(r[1])) for r in odd_rows())
+    assert sorted(r.size for r in rows) == sorted(len((r[1] or "").encode()) + 1 for r in odd_rows())
+    assert {(r.shard, r.slot) for r in rows} == {(r.shard, r.slot) for r in shards}
