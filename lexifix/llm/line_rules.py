@@ -92,7 +92,8 @@ def line_frequency_verdict(
     else:
         rows = lookup(rows, freq, "_host", "_host_rows", F.xxhash64(F.col(id_col), F.col(text_col)))
     text = f"coalesce(`{text_col}`, '')"
-    removed = f"exists(freq, f -> f.h = {_line_hash('l')} AND NOT (f.first <=> `{id_col}`))"
+    # the one-element array binds the hash, so it is computed once a line
+    removed = f"transform(array({_line_hash('l')}), h -> exists(freq, f -> f.h = h AND NOT (f.first <=> `{id_col}`)))[0]"
     kept = f"array_join(filter(split({text}, '\\n', -1), l -> NOT (l rlike '{_WORD_CHAR}' AND {removed})), '\\n')"
     rows = rows.withColumn("_kept_text", F.expr(f"CASE WHEN freq IS NULL THEN {text} ELSE {kept} END"))
     return rows.withColumn("_depleted", F.length("_kept_text") < F.lit(min_left) * F.length(F.expr(text))).drop("freq", "_host")

@@ -2,7 +2,7 @@ import os
 
 import corpus_pipeline
 import pytest
-from helpers import odd_docs
+from helpers import odd_docs, prose
 
 import __spark_entry__ as entry
 
@@ -34,3 +34,10 @@ def test_registered(spark):
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 11)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
     assert entry.queries()["pipeline"](spark, SF).columns[:3] == ["doc_id", "start", "length"]
+
+
+def test_boilerplate_of_a_large_source_goes(spark):
+    rows = [(i, ("Home | About\n" if i < 25 else "") + prose(60, i), "en", "big", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality_rules(spark, docs, "").collect()
+    assert len(kept) == 300 and [r.doc_id for r in kept if "Home" in r.text] == [0]
