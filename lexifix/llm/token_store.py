@@ -34,6 +34,8 @@ from .tokens import encoder
 END_ID = 0
 WINDOW_DOUBLINGS = 4  # a window of 16 ids
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 128, 512, 4096
+#: Packs that a reading task keeps open at most.
+OPEN_PACKS = 256
 
 _HEAD = struct.Struct("<?qI16sI")  # has an id, id, tokens, Merkle root, chunks
 _PLACE = struct.Struct("<IQII16s")  # pack, offset, bytes, ids, name
@@ -136,13 +138,13 @@ def _stage(folder: str, tokenizer: str, spaced: bool):
         pack = TaskContext.get().partitionId()
         out, squeeze, known = None, zstandard.ZstdCompressor(level=1), {}
         enc = encoder(tokenizer, spaced)
-        end = np.array([END_ID], enc.dtype)
         for batch in batches:
             rows = [[] for _ in range(9)]
             doc_ids, rids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            blobs = enc.encode([t or "" for t in batch.column(2).to_pylist()])
-            tail = end.tobytes()
-            docs = [np.frombuffer(blob + tail, enc.dtype) for blob in blobs]
+            flat, bounds = enc.encode_array(batch.column(2))
+            flat = np.insert(flat, bounds[1:], END_ID)
+            bounds = (bounds + np.arange(len(bounds))).tolist()
+            docs = [flat[i:j] for i, j in zip(bounds, bounds[1:])]
             for doc_id, rid, ids, stops in zip(doc_ids, rids, docs, cut_documents(docs) if docs else []):
                 start = 0
                 for seq, stop in enumerate(stops):
@@ -284,7 +286,7 @@ def read_recipes(path: str) -> Iterator[tuple[int | None, int, bytes, list[tuple
 
 def _read_back(folder: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs: dict[int, int] = {}
+        packs: dict[int, int] = {}  # open files, the latest used last
         expand = zstandard.ZstdDecompressor()
         dtype = np.dtype(f"<u{width}")
         try:
@@ -294,9 +296,13 @@ def _read_back(folder: str, width: int):
                     for doc_id, n, doc_root, places in read_recipes(f"{folder}/recipes/recipe-{part}.bin"):
                         raws = []
                         for pack, at, size, n_ids, name in places:
-                            if pack not in packs:
-                                packs[pack] = os.open(f"{folder}/packs/pack-{pack}.bin", os.O_RDONLY)
-                            packed = os.pread(packs[pack], size, at)
+                            fd = packs.pop(pack, None)
+                            if fd is None:
+                                if len(packs) >= OPEN_PACKS:
+                                    os.close(packs.pop(next(iter(packs))))
+                                fd = os.open(f"{folder}/packs/pack-{pack}.bin", os.O_RDONLY)
+                            packs[pack] = fd
+                            packed = os.pread(fd, size, at)
                             raw = np.frombuffer(expand.decompress(packed, n_ids * width), dtype).astype("<u4").tobytes()
                             if name_of(raw) != name:
                                 raise ValueError(f"chunk {name.hex()} in pack {pack} is damaged")

@@ -22,10 +22,11 @@ ODD = ["", " ", "  a", " a", "a ", "a  b", "a \n b", "a\n\nb  c \t d", "it 's do
 @pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORD, False)])
 def test_same_as_the_library(path, spaced, monkeypatch):
     rnd = random.Random(1)
-    texts = ODD + ["".join(rnd.choice(list("ab' \n\t.,!é́Σ1<|>\x01Ġ")) for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
+    texts = ODD + ["".join(rnd.choice(list("abé' \n\t.,!é́Σ1<|>\x01Ġ×İŉ\x85\xa0#'s ") + ["ab", " Wö", "\n", ". "]) for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
     want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-    for pieces in (600_000, 40):  # the second turns the cache over
-        monkeypatch.setattr(tokens, "CACHE_PIECES", pieces)
+    for slots in (1 << 22, 40):  # the second turns the table over, in small windows
+        monkeypatch.setattr(tokens, "SLOTS", slots)
+        monkeypatch.setattr(tokens, "WINDOW", 1 << 19 if slots > 40 else 64)
         encoder = PieceEncoder(path, spaced)
         got = [np.frombuffer(b, encoder.dtype).tolist() for k in range(0, len(texts), 50) for b in encoder.encode(texts[k : k + 50])]
         assert got == want
