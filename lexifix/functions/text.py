@@ -1,4 +1,4 @@
-"""Scalar string functions as Column expressions, which stay in the JVM (but for NFKC)."""
+"""Scalar string functions as Column expressions, which stay in the JVM (but for NFKC and some distances)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.shipping import ensure_shipped
+from .distance import osa_pairs
 
 ALNUM = r"\p{IsAlphabetic}\p{N}"
 WORD_CHARS = ALNUM + "_'’"
@@ -68,38 +69,30 @@ def deletes(word: str, depth: str | int, prefix_length: int) -> Column:
     return F.expr(f"IF(length({w}) <= {d}, array_union({grown}, array('')), {grown})")
 
 
-def osa_expr(a: str, b: str) -> str:
-    """SQL for the optimal string alignment distance of two SQL strings, over code points."""
-    same = f"substr({a}, i, 1) = substr({b}, j, 1)"
-    swapped = f"i > 1 AND j > 1 AND substr({a}, i, 1) = substr({b}, j - 1, 1) AND substr({a}, i - 1, 1) = substr({b}, j, 1)"
-    cell = (
-        f"least(r[j - 1] + 1, s.p1[j] + 1, s.p1[j - 1] + IF({same}, 0, 1),"
-        f" IF({swapped}, s.p2[greatest(j - 2, 0)] + 1, 2147483647))"
-    )
-    row = f"aggregate(sequence(1, length({b})), array(i), (r, j) -> concat(r, array({cell})))"
-    table = (
-        f"aggregate(sequence(1, length({a})), named_struct('p2', sequence(0, length({b})), 'p1', sequence(0, length({b}))),"
-        f" (s, i) -> named_struct('p2', s.p1, 'p1', {row}), s -> element_at(s.p1, -1))"
-    )
-    return f"CASE WHEN {a} = {b} THEN 0 WHEN length({a}) = 0 THEN length({b}) WHEN length({b}) = 0 THEN length({a}) ELSE {table} END"
+def _distance(limit: int | None):
+    @F.arrow_udf(T.IntegerType())
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return osa_pairs(a, b, limit)
 
+    return run
 
-def osa(a: str, b: str, limit: str | int | None = None) -> Column:
-    """Distance of two columns (by name); null above ``limit`` (a column's name or a number).
 
-    The built-in bounded Levenshtein distance decides most pairs: it is at most twice the distance, equal if below 2.
-    """
-    x, y = _sql(a), _sql(b)
+def osa_of(a: Column, b: Column, lev: Column, limit: int) -> Column:
+    """Optimal string alignment distance, null above ``limit``, from the Levenshtein distance ``lev`` (negative: above
+    2 * limit). Every swap of neighbours saves one, so where the lengths differ by more than lev - 2 they are equal, and
+    only other pairs go to Python, a batch at a time."""
+    open_ = (lev >= 2) & (F.abs(F.length(a) - F.length(b)) <= lev - 2)
+    exact = _distance(limit)(F.when(open_, a), F.when(open_, b))
+    return F.when(lev < 0, F.lit(None)).when(open_, exact).when(lev <= limit, lev).cast("int")
+
+
+def osa(a: str, b: str, limit: int | None = None) -> Column:
+    """Distance of two columns (by name) over code points; null above ``limit``."""
+    ensure_shipped(SparkSession.getActiveSession())
+    x, y = F.col(_sql(a)), F.col(_sql(b))
     if limit is None:
-        return F.expr(osa_expr(x, y))
-    k = limit if isinstance(limit, int) else _sql(limit)
-    exact = f"transform(array({osa_expr(x, y)}), d -> IF(d <= {k}, d, cast(null as int)))[0]"
-    if isinstance(limit, int):
-        lev = f"levenshtein({x}, {y}, {2 * limit})"
-    else:
-        lev = f"transform(array(levenshtein({x}, {y})), d -> IF(d <= 2 * {k}, d, -1))[0]"
-    near = f"transform(array({lev}), l -> CASE WHEN l < 0 THEN cast(null as int) WHEN l < 2 THEN IF(l <= {k}, l, cast(null as int)) ELSE {exact} END)[0]"
-    return F.expr(near)
+        return _distance(None)(x, y)
+    return osa_of(x, y, F.levenshtein(x, y, 2 * limit), limit)
 
 
 def transfer_case_expr(s: str, t: str) -> str:
@@ -139,9 +132,7 @@ def nfkc(text: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """``lexifix_osa(a, b)`` and ``lexifix_transfer_case(source, target)`` as temporary SQL functions."""
-    bodies = {
-        "lexifix_osa(a STRING, b STRING) RETURNS INT": osa_expr("a", "b"),
-        "lexifix_transfer_case(source STRING, target STRING) RETURNS STRING": transfer_case_expr("source", "target"),
-    }
-    for head, body in bodies.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    ensure_shipped(spark)
+    spark.udf.register("lexifix_osa", _distance(None))
+    head = "lexifix_transfer_case(source STRING, target STRING) RETURNS STRING"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {transfer_case_expr('source', 'target')}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +47,17 @@ def build_index(words: DataFrame, config: Config) -> DataFrame:
     return rows.select(F.explode(deletes("term", config.depth, config.prefix_length)).alias("del"), "term", "count")
 
 
+def keyed(index: DataFrame, prefix_length: int) -> DataFrame:
+    """(h, n, term, count): the index by a 64-bit hash of ``del``, with the number of deletions that gave it.
+
+    Lookups take the distance of every pair that meets, so terms that meet by a collision do no harm.
+    """
+    if "h" in index.columns:
+        return index
+    n = F.least(F.length("term"), F.lit(prefix_length)) - F.length("del")
+    return index.select(F.xxhash64("del").alias("h"), n.alias("n"), "term", "count")
+
+
 def stats(words: DataFrame, config: Config) -> DataFrame:
     """One row: size, total count, longest indexed term."""
     ok = F.col("count") >= config.count_threshold
@@ -81,6 +92,17 @@ class Dictionary:
             low = MAX_COUNT if found is None else found
         return cls(words, config, build_index(words, config), longest, bigrams, low)
 
+    def persist(self) -> Dictionary:
+        """The same dictionary with its tables kept on the executors, placed by the keys that lookups join on, so that
+        only the looked-up strings are shuffled. ``release`` lets go of them."""
+        words = self.words.repartition("term").persist()
+        index = keyed(self.index, self.config.prefix_length).repartition("h").persist()
+        return replace(self, words=words, index=index)
+
+    def release(self) -> None:
+        self.words.unpersist()
+        self.index.unpersist()
+
     def size(self) -> int:
         """Terms, those below the count threshold too."""
         return self.words.count()

@@ -3,59 +3,88 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import deletes, effective_distance, osa, transfer_case
+from ..functions.text import deletes, effective_distance, osa_of, transfer_case
 from ..plans.config import Verbosity
-from .dictionary import Dictionary
+from ..plans.shipping import ensure_shipped
+from ..plans.storage import written
+from .dictionary import Dictionary, keyed
 
 
-def _matches(queries: DataFrame, d: Dictionary, reach: int, closest_only: bool) -> DataFrame:
-    """(q, k, term, distance, count) for distinct queries (q, k): exact hits, and indexed terms within k.
+def _near(queries: DataFrame, d: Dictionary, reach: int, depth: str | int) -> DataFrame:
+    """(q, k, term, distance, count) of indexed terms other than q within ``depth`` (a number, or the column k) of it.
 
-    Where only the closest count, queries with an exact hit skip the index.
+    Strings within a distance have a string in common that as many deletions leave of either's prefix; so entries made
+    by more deletions are skipped. Pairs that meet under several strings become one before their distance is taken.
     """
-    exact = queries.join(d.words, queries["q"] == d.words["term"]).select("q", "k", "term", F.lit(0).alias("distance"), "count")
-    if reach == 0:
-        return exact
-    open_ = queries.where("k > 0")
-    if closest_only:
-        known = d.words.select(F.col("term").alias("_known"))
-        open_ = open_.join(known, F.col("q") == F.col("_known"), "left_anti")
-    probes = open_.select("q", "k", F.explode(deletes("q", "k", d.config.prefix_length)).alias("del"))
-    near = (F.abs(F.length("q") - F.length("term")) <= F.col("k")) & (F.col("q") != F.col("term"))
-    pairs = probes.join(d.index, "del").where(near).withColumn("lev", F.expr(f"levenshtein(q, term, {2 * reach})"))
-    pairs = pairs.where(F.col("lev").between(0, 2 * F.col("k"))).select("q", "k", "term", "count", "lev")
-    if closest_only and reach > 1:
-        # the distance is at least half of lev and at most lev, so what can't reach the best needs no exact distance;
-        # one shuffle serves the deduplication and the window
-        pairs = pairs.repartition("q", "k").distinct()
-        least = F.min("lev").over(Window.partitionBy("q", "k"))
-        pairs = pairs.withColumn("_least", least).where((F.col("lev") + 1) / 2 < F.col("_least") + 1).drop("_least")
-    else:
-        pairs = pairs.distinct()
-    fuzzy = pairs.withColumn("distance", osa("q", "term", "k" if reach > 1 else reach))
-    fuzzy = fuzzy.where(F.col("distance").isNotNull()).select("q", "k", "term", "distance", "count")
-    return exact.unionByName(fuzzy)
+    prefix = d.config.prefix_length
+    far = F.col(depth) if isinstance(depth, str) else F.lit(depth)
+    probes = queries.select("q", "k", far.alias("r"), F.explode(deletes("q", depth, prefix)).alias("del"))
+    probes = probes.withColumn("h", F.xxhash64("del")).drop("del")
+    entries = keyed(d.index, prefix)
+    pairs = probes.join(entries, "h").where(
+        (F.col("n") <= F.col("r")) & (F.abs(F.length("q") - F.length("term")) <= F.col("r")) & (F.col("q") != F.col("term"))
+    )
+    pairs = pairs.select("q", "k", "r", "term", "count").withColumn("lev", F.levenshtein(F.col("q"), F.col("term"), 2 * reach))
+    # at least lev - r of the edits are swaps, which leave 2 * r - lev for edits that change the length
+    able = (F.col("lev") <= F.col("r")) | (F.abs(F.length("q") - F.length("term")) <= 2 * F.col("r") - F.col("lev"))
+    pairs = pairs.where((F.col("lev") >= 0) & able).distinct()
+    found = pairs.withColumn("distance", osa_of(F.col("q"), F.col("term"), F.col("lev"), reach))
+    return found.where(F.col("distance") <= F.col("r")).select("q", "k", "term", "distance", "count")
+
+
+def _closest(queries: DataFrame, d: Dictionary, reach: int, top: bool) -> DataFrame:
+    """(q, k, term, distance, count) of the terms at the smallest distance (``top``: the first of them).
+
+    Distances are tried from 0 upwards, each for the queries that have found nothing yet; what was found before the last
+    one is written to the shared folder.
+    """
+    order = F.struct("distance", (-F.col("count")).alias("_c"), "term")
+    hit = F.struct("term", "distance", "count")
+    columns = ["q", "k", "s.term", "s.distance", "s.count"]
+    if not reach:
+        found = queries.join(d.words, queries["q"] == d.words["term"])
+        return found.select("q", "k", "term", F.lit(0).alias("distance"), "count")
+    exact = F.when(F.col("count").isNotNull(), F.array(F.struct("term", F.lit(0).alias("distance"), "count"))).alias("s")
+    tried = queries.join(d.words, queries["q"] == d.words["term"], "left").select("q", "k", exact)
+    found = []
+    for r in range(1, reach + 1):
+        tried = written(tried, "tried")  # both what is done and what is open come from it
+        found.append(tried.where("s IS NOT NULL"))
+        open_ = tried.where("s IS NULL").select("q", "k").where(F.col("k") >= r)
+        near = _near(open_, d, r, r).groupBy("q", "k")
+        best = near.agg(F.array(F.min_by(hit, order)).alias("s") if top else F.collect_list(hit).alias("s"))
+        tried = best if r == reach else open_.join(best, ["q", "k"], "left")
+    out = reduce(DataFrame.unionByName, [*found, tried])
+    return out.select("q", "k", F.explode("s").alias("s")).select(*columns)
 
 
 def suggest(
-    queries: DataFrame, d: Dictionary, verbosity: Verbosity = Verbosity.TOP, reach: int | None = None, max_results: int | None = None
+    queries: DataFrame,
+    d: Dictionary,
+    verbosity: Verbosity = Verbosity.TOP,
+    reach: int | None = None,
+    max_results: int | None = None,
+    checked: bool = False,
 ) -> DataFrame:
-    """Ranked matches (q, k, term, distance, count, rank) of distinct queries (q, k)."""
+    """Ranked matches (q, k, term, distance, count, rank) of distinct queries (q, k); ``checked``: none is too long."""
+    ensure_shipped(queries.sparkSession)
     reach = d.config.depth if reach is None else reach
-    queries = queries.where(F.length("q") - F.col("k") <= d.max_term_length)
-    found = _matches(queries, d, reach, verbosity != Verbosity.ALL)
-    order = F.struct("distance", (-F.col("count")).alias("_c"), "term")
+    if not checked:
+        queries = queries.where(F.length("q") - F.col("k") <= d.max_term_length)
     if verbosity == Verbosity.TOP:  # partial aggregation instead of a sort of all matches
-        best = found.groupBy("q", "k").agg(F.min_by(F.struct("term", "distance", "count"), order).alias("s"))
-        out = best.select("q", "k", "s.*", F.lit(1).alias("rank"))
+        out = _closest(queries, d, reach, True).withColumn("rank", F.lit(1))
     else:
         if verbosity == Verbosity.CLOSEST:
-            least = Window.partitionBy("q", "k")
-            found = found.withColumn("_d", F.min("distance").over(least)).where("distance = _d").drop("_d")
+            found = _closest(queries, d, reach, False)
+        else:
+            found = queries.join(d.words, queries["q"] == d.words["term"]).select("q", "k", "term", F.lit(0).alias("distance"), "count")
+            if reach:
+                found = found.unionByName(_near(queries.where("k > 0"), d, reach, "k"))
         ranked = Window.partitionBy("q", "k").orderBy("distance", F.col("count").desc(), "term")
         out = found.withColumn("rank", F.row_number().over(ranked))
     return out if max_results is None else out.where(F.col("rank") <= max_results)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..functions.text import tokens
 from ..operators.dictionary import Dictionary, merge
 from ..operators.lookup import lookup
+from ..plans.storage import scratch
 
 
 def streaming_counts(stream: DataFrame, text_col: str = "text") -> DataFrame:
@@ -19,8 +20,14 @@ def streaming_counts(stream: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def corrections(stream: DataFrame, dictionary: Dictionary, write: Callable[[DataFrame, int], None], **options) -> DataStreamWriter:
-    """Look up each micro-batch (columns id and input) against the dictionary; ``write`` gets the result and the batch."""
-    return stream.writeStream.foreachBatch(lambda batch, n: write(lookup(batch, dictionary, **options), n))
+    """Look up each micro-batch (columns id and input) against the dictionary; ``write`` gets the result and the batch's
+    number. What a lookup keeps in the shared folder goes after the batch."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        with scratch(batch.sparkSession):
+            write(lookup(batch, dictionary, **options), n)
+
+    return stream.writeStream.foreachBatch(run)
 
 
 def merge_into(path: str) -> Callable[[DataFrame, int], None]:

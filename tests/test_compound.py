@@ -39,3 +39,14 @@ def test_shape(spark):
     got = sorted(map(tuple, lookup_compound(df, d, 2, preserve_case=True).collect()), key=str)
     assert [g[2] for g in got] == ["WHERE IS THE LOVE", "WHERE IS THE LOVE", None, "", ""]
     assert got[3][3:] == (0, N) and got[4][3:] == (2, N)
+
+
+def test_long_text(spark):
+    """A text of 20,000 words, and a word longer than a power of ten has digits for."""
+    d, _ = build(spark, True)
+    rnd, names = random.Random(3), list(WORDS)
+    text = " ".join(w + "x" if k % 50 == 0 else w for k, w in enumerate(rnd.choices(names, k=20_000)))
+    df = spark.createDataFrame([(1, text), (2, "q" * 700)], "id long, input string")
+    got = {r.id: r for r in lookup_compound(df, d, 2).collect()}
+    assert 380 <= got[1].distance <= 420 and len(got[1].term.split()) >= 19_900
+    assert (got[2].term, got[2].distance) == ("q" * 700, 0)

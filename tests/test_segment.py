@@ -43,3 +43,10 @@ def test_empty(spark):
     got = run(spark, ["", "-", None], 1)
     assert [tuple(r)[2:] for r in got] == [("", 0, 0.0), ("", 0, 0.0), (None, None, None)]
     assert Dictionary.build(spark.createDataFrame([], "term string, count long"), Config(1)).max_term_length == 0
+
+
+def test_long_text_and_long_unknown_parts(spark):
+    words = {**WORDS, "x" * 310: 5}
+    got = run(spark, ["q" * 321, "thedog" * 400], 0, words)
+    assert got[0].distance_sum == 322 and got[0].prob_log_sum < -300
+    assert got[1].segmented_string == " ".join(["the dog"] * 400)
