@@ -6,8 +6,10 @@ An ARC file starts with a version block, whose body names the version and the fi
 * version 2: URL, IP address, date, content type, result code, checksum, location, offset, file name, length.
 
 Each record is a header line, the declared number of bytes, and a line feed. The converter synthesises the WARC fields
-that ARC lacks: record identifiers from the record's content and place, ISO timestamps from the 14-digit dates, record
-types, and block and payload digests. Payloads that occur more than once become a response and revisits of it.
+that ARC lacks: record identifiers from the record's date, place and URL, ISO timestamps from the 14-digit dates, record
+types, and block and payload digests. The version block becomes a warcinfo record, a record with an HTTP head a response,
+another (of DNS, say) a resource. Payloads that occur more than once become one such record and revisits of it.
+Archives may be gzipped, as a whole or record by record.
 """
 
 from __future__ import annotations
@@ -66,26 +68,42 @@ def digest32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def read_arc(stream) -> Iterator[ArcRecord]:
-    """Records of an ARC file of either version; header lines are split from the right, so a URL may hold spaces."""
+def open_arc(data: bytes):
+    """A stream of the archive's bytes, unpacked if it is gzipped."""
+    raw = io.BytesIO(data)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2] == b"\x1f\x8b" else raw
+
+
+def read_head(stream) -> tuple[ArcRecord | None, list[str]]:
+    """The version block and the fields of the header lines that its version has; none of an empty archive."""
     line = stream.readline()
     if not line:
-        return
-    head = line.rstrip(b"\r\n").split(b" ")
-    if not head[0].startswith(b"filedesc:"):
+        return None, []
+    head = line.rstrip(b"\r\n").decode("utf-8", "surrogateescape").split(" ")
+    if not head[0].startswith("filedesc:"):
         raise ValueError("no ARC version block")
     body = stream.read(int(head[-1]))
     version = int(body.split(b" ", 1)[0])
     if version not in FIELDS:
         raise ValueError(f"ARC version {version}")
-    names = FIELDS[version]
+    return ArcRecord(head[0], head[1], head[2], head[3], body), FIELDS[version]
+
+
+def read_arc(stream) -> Iterator[ArcRecord]:
+    """Records of an ARC file of either version, without the version block."""
+    head, names = read_head(stream)
+    return read_records(stream, names) if head else iter(())
+
+
+def read_records(stream, names: list[str]) -> Iterator[ArcRecord]:
+    """Records after the version block; header lines are split from the right, so a URL may hold spaces."""
     while line := stream.readline():
         text = line.rstrip(b"\r\n").decode("utf-8", "surrogateescape")
         if not text:
             continue  # the line feed after a record
         values = text.rsplit(" ", len(names) - 1)
         if len(values) != len(names):
-            raise ValueError(f"ARC header line of version {version}: {text[:200]!r}")
+            raise ValueError(f"ARC header line of {len(names)} fields: {text[:200]!r}")
         record = dict(zip(names, values))
         size = int(record["length"])
         block = stream.read(size)
@@ -105,7 +123,7 @@ def arc_header(version: int, record: ArcRecord, offset: int, filename: str) -> b
 
 def write_arc(records: list[ArcRecord], version: int, filename: str) -> bytes:
     body = f"{version} 0 lexifix\n{FIELD_LINE[version]}\n".encode()
-    first = ArcRecord(f"filedesc://{filename}", "0.0.0.0", "19960101000000", "text/plain", body)
+    first = ArcRecord(f"filedesc://{filename}", "0.0.0.0", "20050101000000", "text/plain", body)
     out = bytearray()
     for record in [first, *records]:
         out += arc_header(version, record, len(out), filename) + record.block + b"\n"
@@ -130,7 +148,7 @@ def warc_record(record: ArcRecord, place: str, revisit_of: tuple[str, str, str]
     head, payload = record.split()
     block = head if revisit_of else record.block
     fields = [
-        ("WARC-Type", "revisit" if revisit_of else "response"),
+        ("WARC-Type", "revisit" if revisit_of else "response" if head else "resource"),
         ("WARC-Record-ID", record_id(record, place)),
         ("WARC-Date", iso_date(record.date)),
         ("WARC-Target-URI", record.url),
@@ -151,6 +169,28 @@ def warc_record(record: ArcRecord, place: str, revisit_of: tuple[str, str, str]
     return f"WARC/1.1\r\n{lines}\r\n".encode("utf-8", "surrogateescape") + block + b"\r\n\r\n"
 
 
+def warcinfo(head: ArcRecord, name: str) -> bytes:
+    """The archive's version block as a warcinfo record: its date, and what it says of itself as fields."""
+    block = f"software: lexifix\r\nformat: WARC File Format 1.1\r\nsource-archive: {name}\r\n".encode() + b"".join(
+        b"arc-version-block: " + line + b"\r\n" for line in head.block.split(b"\n") if line
+    )
+    fields = [
+        ("WARC-Type", "warcinfo"),
+        ("WARC-Record-ID", record_id(head, f"{name}:head")),
+        ("WARC-Date", iso_date(head.date)),
+        ("WARC-Filename", warc_name(name)),
+        ("WARC-Block-Digest", f"sha1:{digest32(block)}"),
+        ("Content-Type", "application/warc-fields"),
+        ("Content-Length", str(len(block))),
+    ]
+    lines = "".join(f"{k}: {v}\r\n" for k, v in fields)
+    return f"WARC/1.1\r\n{lines}\r\n".encode("utf-8", "surrogateescape") + block + b"\r\n\r\n"
+
+
+def warc_name(name: str) -> str:
+    return name.removesuffix(".gz").removesuffix(".arc") + ".warc.gz"
+
+
 def read_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of each record of an uncompressed stream; block digests are verified."""
     while line := stream.readline():
@@ -215,7 +255,7 @@ def _arc_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, data in zip(*(batch.column(k).to_pylist() for k in range(2))):
             rows = [[] for _ in range(5)]
-            for n, record in enumerate(read_arc(io.BytesIO(data))):
+            for n, record in enumerate(read_arc(open_arc(data))):
                 head, payload = record.split()
                 page = http_fields(head).get("x-page-id", "")
                 for column, value in zip(rows, (f"{name}:{n}", int(page) if page else None, record.url, record.date, digest32(payload))):
@@ -232,10 +272,14 @@ def _write_warcs(folder: str):
         for batch in batches:
             for name, data, revisits in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 known = {r["n"]: r for r in revisits or []}
-                path = os.path.join(folder, name.removesuffix(".arc") + ".warc.gz")
+                path = os.path.join(folder, warc_name(name))
                 passing = f"{path}.{os.getpid()}.{TaskContext.get().attemptNumber()}"
+                stream = open_arc(data)
+                head, names = read_head(stream)
                 with open(passing, "wb") as f:
-                    for n, record in enumerate(read_arc(io.BytesIO(data))):
+                    if head:
+                        f.write(gzip.compress(warcinfo(head, name), GZIP_LEVEL, mtime=0))
+                    for n, record in enumerate(read_records(stream, names)):
                         of = None
                         if r := known.get(n):
                             first = ArcRecord(r["url"], "", r["date"], "", b"")
@@ -251,8 +295,10 @@ def convert(arcs: DataFrame, folder: str) -> DataFrame:
     """Convert ARC files (name, data) to WARC files in the shared ``folder``; the files' names.
 
     Of records with equal payloads, that with the smallest page id (then place; without an id last) is the response,
-    empty payloads too. The payloads stay in their file's task: only an index of narrow rows is shuffled.
+    empty payloads too. The payloads stay in their file's task: only an index of narrow rows is shuffled. The archives are
+    written to the shared folder once, as the index and the conversion must see the same ones. An empty table gives no files.
     """
+    arcs = written(arcs.select("name", "data"), "arcs")
     index = written(arcs.mapInArrow(_arc_index, _INDEX), "arc-index")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "place", "url", "date")
     firsts = index.groupBy("digest").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -285,13 +331,15 @@ def _read_warcs(folder: str):
                 rows = [[] for _ in range(6)]
                 with gzip.open(os.path.join(folder, name)) as stream:
                     for fields, block in read_warc(io.BufferedReader(stream, 1 << 20)):
-                        end = block.find(b"\r\n\r\n") + 4
+                        if fields["warc-type"] == "warcinfo":
+                            continue
+                        end = block.find(b"\r\n\r\n") + 4 if "application/http" in fields["content-type"] else 0
                         http = http_fields(block[:end])
                         digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                        size = int(http["content-length"])
-                        if fields["warc-type"] == "response" and (size != len(block) - end or digest32(block[end:]) != digest):
+                        size = int(http.get("content-length", len(block) - end))
+                        if fields["warc-type"] != "revisit" and (size != len(block) - end or digest32(block[end:]) != digest):
                             raise ValueError(f"payload of {fields['warc-record-id']} is damaged")
-                        page = http["x-page-id"]
+                        page = http.get("x-page-id")
                         values = (int(page) if page else None, size, digest, fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"))
                         for column, value in zip(rows, values):
                             column.append(value)
@@ -303,14 +351,16 @@ def _read_warcs(folder: str):
 
 
 def read_warcs(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """Records of the WARC files, verified against their digests; ``refers_to`` is the page id that a revisit's
-    WARC-Refers-To record has."""
+    """Records of the WARC files but warcinfo, verified against their digests; ``refers_to`` is the page id that a
+    revisit's WARC-Refers-To record has, whose payload's size is the revisit's. Records without an HTTP head have no
+    page id."""
     dealt = files.repartition(partitions(spark))
     records = written(dealt.mapInArrow(_read_warcs(local_path(folder)), _RECORDS), "warc-records")
     targets = records.where("refers_id IS NOT NULL").groupBy(F.col("refers_id").alias("record_id")).agg(F.count(F.lit(1)).alias("n"))
-    pages = records.where("record_type = 'response'").select("record_id", F.col("page_id").alias("refers_to"))
+    pages = records.where("record_type <> 'revisit'").select("record_id", F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full"))
     table = written(targets.join(pages, "record_id"), "warc-targets").withColumnRenamed("record_id", "refers_id")
-    return lookup(records, table, "refers_id", "n", F.col("record_id")).drop("record_id", "refers_id")
+    found = lookup(records, table, "refers_id", "n", F.col("record_id"))
+    return found.withColumn("payload_bytes", F.coalesce("full", "payload_bytes")).drop("record_id", "refers_id", "full")
 
 
 def op9_arc_to_warc(spark, sf_dir: str) -> DataFrame:

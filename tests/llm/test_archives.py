@@ -85,6 +85,34 @@ def test_pages_there_and_back(spark, monkeypatch, limit):
     assert revisits == 5
 
 
+def test_other_records_and_gzip(spark):
+    """DNS records become resources, version blocks warcinfo; gzipped archives are read."""
+    records = [
+        ArcRecord("dns:a", "0.0.0.0", "20010101000000", "text/dns", b"a 1.2.3.4"),
+        ArcRecord("http://a/", "1.2.3.4", "20010101000000", "text/html", b"HTTP/1.0 200 OK\r\n\r\nbody"),
+        ArcRecord("dns:b", "0.0.0.0", "20010101000001", "text/dns", b"a 1.2.3.4"),
+    ]
+    data = write_arc(records, 1, "f.arc")
+    df = spark.createDataFrame([("f.arc", data), ("g.arc.gz", gzip.compress(write_arc(records[1:2], 2, "g.arc")))], "name string, data binary")
+    folder = shared_dir(spark, "warc-test")
+    files = convert(df, folder)
+    assert sorted(r.file for r in files.collect()) == ["f.warc.gz", "g.warc.gz"]
+    with gzip.open(os.path.join(local_path(folder), "f.warc.gz")) as f:
+        found = list(read_warc(io.BytesIO(f.read())))
+    assert [h["warc-type"] for h, _ in found] == ["warcinfo", "resource", "response", "revisit"]
+    assert b"URL IP-address" in found[0][1] and found[1][0]["content-type"] == "text/dns"
+    assert found[3][0]["warc-refers-to"] == found[1][0]["warc-record-id"]
+    got = sorted((r.record_type, r.payload_bytes) for r in read_warcs(spark, folder, files).collect())
+    assert got == [("resource", 9), ("response", 4), ("revisit", 4), ("revisit", 9)]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(*p, "x", "y") for p in PAGES], "page_id long, url string, html string, name string, data string")
+    folder = shared_dir(spark, "warc-test")
+    rows = read_warcs(spark, folder, convert(pages_to_arc(df), folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, rows), key=str) == expected(PAGES)
+
+
 def test_damage_is_found():
     data = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\nWARC-Block-Digest: sha1:X\r\n\r\nabc\r\n\r\n"
     with pytest.raises(ValueError, match="damaged"):
