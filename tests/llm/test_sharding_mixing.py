@@ -42,6 +42,63 @@ def test_shards(spark, law, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows)
 
 
+def plain_index(point, bits):
+    """Curve index of a point, walked down cell by cell: the state is the curve's orientation in each sub-cube."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    out = 0
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            out = out << 1 | ((v ^ t) >> b & 1)
+    return out
+
+
+def many(spark, n=4000):
+    rows = [(i, f"text {i}", "en de fr es".split()[i * 7 % 4], f"source-{i * i % 23:02d}", (i * 7919) % 30_000 + 1) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), rows
+
+
+def test_order_against_brute_force(spark):
+    df, rows = many(spark)
+    langs, sources = sorted({r[2] for r in rows}), sorted({r[3] for r in rows})
+    level = lambda v, values: values.index(v) * 31 // len(values) + 1
+    point = {r[0]: (level(r[2], langs), level(r[3], sources), min(r[4].bit_length() + 1, 31)) for r in rows}
+    got = sorted((r.shard, r.slot, r.doc_id) for r in hilbert_shards(df, "doc_id", DIMS, 8).collect())
+    places = [plain_index(point[g[2]], 5) for g in got]
+    assert places == sorted(places)
+    assert [g[:2] for g in got] == [(s, k) for s in range(8) for k in range(500)]
+
+
+def test_ranges_prune(spark):
+    df, rows = many(spark)
+    ranges = shard_ranges(hilbert_shards(df, "doc_id", DIMS, 32), DIMS).collect()
+    def read(d, v):
+        return sum(r[f"min_{d}"] <= v <= r[f"max_{d}"] for r in ranges) / len(ranges)
+    assert max(read("lang", v) for v in {r[2] for r in rows}) < 0.6
+    assert sum(read("source", v) for v in {r[3] for r in rows}) / 23 < 0.5
+
+
+def test_hot_null_ids_are_spread(spark):
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("en").alias("lang"), F.lit("x").alias("source"), F.lit(5).alias("n_chars"))
+    plan = hilbert_shards(df, "doc_id", DIMS, 8)
+    assert {r.n for r in plan.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()} == {625}
+
+
 def test_crowded_cell_and_empty(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("x").alias("source"), F.lit(5).alias("n_chars"))
     rows = hilbert_shards(df, "doc_id", DIMS, 8).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("m")).collect()
