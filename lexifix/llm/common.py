@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
+from ..plans.storage import drop_dir, scratch, shared_dir, written
+
+__all__ = ["crc32_text", "drop_dir", "fold_of", "local_path", "lookup", "partitions", "read", "scratch", "shared_dir", "text_of", "written"]
 
 #: White space of the word rule, as a Java or Python character class body.
 WS = r"\x20\x09-\x0D"
@@ -24,37 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    ensure_shipped(spark)
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = sc._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lexifix-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under the shared root, removed when the driver's JVM ends."""
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop_path)
-    fs.deleteOnExit(hadoop_path)
-    return path
-
-
-def drop_dir(spark: SparkSession, path: str) -> None:
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 def local_path(uri: str) -> str:
     """Path that a Python worker opens; the shared folder must be mounted on every machine."""
     if uri.startswith("file:"):
@@ -64,13 +33,6 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,8 +1,9 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line with a word is good or bad; its features and those of its neighbours score the label, and a transition score
-joins neighbouring labels. The field is trained on the driver from a bounded sample of labelled documents (their lines
-carry the document's label). A document's score comes from its lines' forward-backward marginals, weighted by length.
+joins neighbouring labels. A document's score comes from its lines' forward-backward marginals, weighted by length.
+Lines have no labels of their own: the field is trained on the driver, from a bounded sample of labelled documents, so
+that the weighted marginals give the documents' labels. So a document may have good and bad lines.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.shipping import ensure_shipped
-from .common import fold_of, read
+from .common import fold_of, read, written
 
-#: Bounds of the training sample: documents of each label, chains of a document, lines of a chain.
+#: Bounds of the training sample: documents of each label, and lines of a document that may be in it.
 TRAIN_DOCS = 1500
-TRAIN_CHAINS = 16
-CHAIN_LINES = 64
+TRAIN_LINES = 256
+#: In training a document of weighted marginal m has the odds exp(STEEP * (m - 1/2)): sure scores need sure lines.
+STEEP = 8.0
+#: Documents of about one length that are trained on together.
+TRAIN_GROUP = 256
 
 LATIN_UPPER = bytes(range(0x41, 0x5B)) + bytes(b for b in range(0xC0, 0xDF) if b != 0xD7)
 DIGITS = b"0123456789"
@@ -121,33 +125,40 @@ class LineCrf:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * mean + self.offset, -30, 30))))
 
 
-def _likelihood(chains: np.ndarray, mask: np.ndarray, labels: np.ndarray, w: np.ndarray, t: np.ndarray):
-    """Gradients of the log-likelihood; chains (n, steps, features), labels (n,), every line of a chain having its label."""
-    n, steps, _ = chains.shape
-    emit = np.clip(chains @ w, -30, 30)
-    emit = np.stack([np.zeros_like(emit), emit], axis=2)
-    emit = np.exp(emit - emit.max(axis=2, keepdims=True))
-    trans = np.exp(t)
+def _sums(emit: np.ndarray, mask: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the label good (n, steps) and sums of pairs of labels (n, 2, 2) of chains with emission scores (n, steps)."""
+    n, steps = emit.shape
+    good = 1.0 / (1.0 + np.exp(-np.clip(emit, -30, 30)))
+    e, trans = np.stack([1.0 - good, good], axis=2), np.exp(np.clip(t, -30, 30))
     alpha, beta = np.zeros((n, steps, 2)), np.ones((n, steps, 2))
-    alpha[:, 0] = emit[:, 0] / emit[:, 0].sum(axis=1, keepdims=True)
+    alpha[:, 0] = e[:, 0]
     for k in range(1, steps):
-        a = (alpha[:, k - 1] @ trans) * emit[:, k]
+        a = (alpha[:, k - 1] @ trans) * e[:, k]
         a /= a.sum(axis=1, keepdims=True)
         alpha[:, k] = np.where(mask[:, k, None], a, alpha[:, k - 1])
     for k in range(steps - 1, 0, -1):
-        b = (emit[:, k] * beta[:, k]) @ trans.T
+        b = (e[:, k] * beta[:, k]) @ trans.T
         b /= b.sum(axis=1, keepdims=True)
         beta[:, k - 1] = np.where(mask[:, k, None], b, beta[:, k])
     gamma = alpha * beta
     gamma /= gamma.sum(axis=2, keepdims=True)
-    grad_w = np.einsum("nk,nkf->f", (labels[:, None] - gamma[:, :, 1]) * mask, chains)
-    pair = alpha[:, :-1, :, None] * trans[None, None] * (emit * beta)[:, 1:, None, :]
-    pair /= pair.sum(axis=(2, 3), keepdims=True)
-    both = mask[:, 1:]
-    grad_t = -(pair * both[:, :, None, None]).sum(axis=(0, 1))
-    for y in (0, 1):
-        grad_t[y, y] += both[labels == y].sum()
-    return grad_w, grad_t
+    pair = alpha[:, :-1, :, None] * trans[None, None] * (e * beta)[:, 1:, None, :]
+    pair /= np.maximum(pair.sum(axis=(2, 3), keepdims=True), 1e-300)
+    return gamma[:, :, 1], np.einsum("nkab,nk->nab", pair, mask[:, 1:].astype(float))
+
+
+def _gradients(chains: np.ndarray, mask: np.ndarray, share: np.ndarray, labels: np.ndarray, w: np.ndarray, t: np.ndarray):
+    """Gradients of the documents' log-likelihood. ``share``: lines' shares of their document's length.
+
+    A weighted sum of marginals is the slope of the log-partition in the direction of the weights, so its gradient is
+    the marginals' (and pairs') slope in that direction, taken as a central difference.
+    """
+    emit, step = chains @ w, 1e-4
+    (up, pairs_up), (down, pairs_down) = (_sums(emit + s * step * share, mask, t) for s in (1, -1))
+    mean = ((up + down) / 2 * share).sum(axis=1)
+    wrong = (labels - 1.0 / (1.0 + np.exp(-STEEP * (mean - 0.5)))) * STEEP
+    slope = (up - down) / (2 * step) * mask
+    return np.einsum("n,nk,nkf->f", wrong, slope, chains), np.einsum("n,nab->ab", wrong, (pairs_up - pairs_down) / (2 * step))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -164,35 +175,31 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 200, shrink: float = 1e-3) -> LineCrf:
-    """Train from (features, lengths, label) of documents by Adam steps on the penalised likelihood.
+def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 100, shrink: float = 1e-3) -> LineCrf:
+    """Train from (features, lengths, label) of documents by Adam steps on the penalised likelihood of their labels.
 
     Without documents of both labels the field knows nothing: scores are one half, or lean to the only label.
     """
-    docs = [d for d in docs if len(d[0])]
+    docs = sorted((d for d in docs if len(d[0])), key=lambda d: len(d[0]))
     labels = {d[2] for d in docs}
     if len(labels) < 2:
         lean = 2.0 * (labels.pop() - 0.5) if labels else 0.0
         return LineCrf(np.zeros(N_FEATURES), np.zeros((2, 2)), 0.0, lean)
-    chains, y = [], []
-    for features, _, label in docs:
-        parts = [features[k : k + CHAIN_LINES] for k in range(0, len(features), CHAIN_LINES)]
-        for k in sorted({len(parts) * i // TRAIN_CHAINS for i in range(TRAIN_CHAINS)} if len(parts) > TRAIN_CHAINS else range(len(parts))):
-            chains.append(parts[k])
-            y.append(label)
-    steps = max(map(len, chains))
-    x, mask = np.zeros((len(chains), steps, N_FEATURES)), np.zeros((len(chains), steps), bool)
-    for k, c in enumerate(chains):
-        x[k, : len(c)], mask[k, : len(c)] = c, True
-    y = np.array(y)
+    groups = []
+    for k in range(0, len(docs), TRAIN_GROUP):
+        part = docs[k : k + TRAIN_GROUP]
+        steps = len(part[-1][0])
+        x, mask, share = np.zeros((len(part), steps, N_FEATURES)), np.zeros((len(part), steps), bool), np.zeros((len(part), steps))
+        for i, (features, lengths, _) in enumerate(part):
+            x[i, : len(features)], mask[i, : len(features)], share[i, : len(features)] = features, True, lengths / lengths.sum()
+        groups.append((x, mask, share, np.array([d[2] for d in part], float)))
     w, t = np.zeros(N_FEATURES), np.zeros((2, 2))
     m, v = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
-    lines = mask.sum()
     for k in range(1, rounds + 1):
-        gw, gt = _likelihood(x, mask, y, w, t)
-        g = np.r_[gw, gt.ravel()] / lines - shrink * np.r_[w, t.ravel()]
+        found = [_gradients(*group, w, t) for group in groups]
+        g = np.sum([np.r_[gw, gt.ravel()] for gw, gt in found], axis=0) / len(docs) - shrink * np.r_[w, t.ravel()]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        step = 0.2 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, t = w + step[:N_FEATURES], t + step[N_FEATURES:].reshape(2, 2)
     field = LineCrf(w, t)
     means = np.array([field.raw(f, n) for f, n, _ in docs])
@@ -200,7 +207,13 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 200, shrin
 
 
 _FEATURES_SCHEMA = T.StructType(
-    [T.StructField("features", T.BinaryType()), T.StructField("lengths", T.BinaryType()), T.StructField("label", T.IntegerType())]
+    [
+        T.StructField("features", T.BinaryType()),
+        T.StructField("lengths", T.BinaryType()),
+        T.StructField("label", T.IntegerType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("hash", T.LongType()),
+    ]
 )
 
 
@@ -212,8 +225,10 @@ def _training_rows(batches):
                 pa.array([f.astype(np.float32).tobytes() for f, _ in found], pa.binary()),
                 pa.array([n.tobytes() for _, n in found], pa.binary()),
                 batch.column(1).cast(pa.int32()),
+                batch.column(2).cast(pa.string()),
+                batch.column(3),
             ],
-            names=["features", "lengths", "label"],
+            names=["features", "lengths", "label", "id", "hash"],
         )
 
 
@@ -226,17 +241,25 @@ def train(
     folds: int = 3,
     held_out: int = 1,
     n_docs: int = TRAIN_DOCS,
+    max_lines: int = TRAIN_LINES,
 ) -> LineCrf:
-    """Fit on up to ``n_docs`` documents of each label, the first by hashed id, none of the held-out fold."""
+    """Fit on up to ``n_docs`` documents of each label, the first by hashed id, none of the held-out fold.
+
+    The sample is drawn from documents of at most ``max_lines`` lines; a repeated row is in it once. Labels other than
+    0 and 1 (null too) are no labels; of a document's two labels both count. Null ids match nothing.
+    """
     ensure_shipped(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    marked = marked.where((fold_of("id", folds) != held_out) & F.col("id").isNotNull())
-    parts = [
-        marked.where(F.col("label") == y).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(n_docs) for y in (0, 1)
-    ]
-    chosen = parts[0].union(parts[1])  # 2 * n_docs rows at most
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    found = rows.select("text", "label").mapInArrow(_training_rows, _FEATURES_SCHEMA).collect()
+    marked = marked.where((fold_of("id", folds) != held_out) & F.col("id").isNotNull() & F.col("label").isin(0, 1)).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    short = texts.where(F.length("text") - F.length(F.translate("text", "\n", "")) < max_lines).select("id", "hash")
+    able = short.join(marked, "id").distinct()
+    parts = [able.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id", "hash").limit(n_docs) for y in (0, 1)]
+    chosen = written(parts[0].union(parts[1]), "training-sample")  # 2 * n_docs rows at most
+    rows = texts.join(F.broadcast(chosen), ["id", "hash"])
+    made = rows.select("text", "label", "id", "hash").mapInArrow(_training_rows, _FEATURES_SCHEMA)
+    found = made.dropDuplicates(["id", "hash", "label"]).collect()
     return fit(
         [
             (np.frombuffer(r.features, np.float32).reshape(-1, N_FEATURES).astype(float), np.frombuffer(r.lengths), r.label)

@@ -108,6 +108,35 @@ def test_training_and_bounds(spark):
     assert with_score(no_docs(spark), model).count() == 0
 
 
+def test_mixed_documents_have_both_labels():
+    """Trained on documents' labels only, the field tells good lines from bad ones inside a document."""
+    good = lambda i: "\n".join(prose(12 + k, 7 * i + k) + "." for k in range(2 + i % 5))
+    bad = lambda i: "\n".join(["BUY!! NOW!! $$$ " * (2 + k) for k in range(2 + i % 5)])
+    model = fit([(*line_features(f(i)), y) for i in range(80) for y, f in ((0, bad), (1, good))])
+    for i in range(100, 110):
+        features, _ = line_features(good(i) + "\n" + bad(i))
+        n = len(good(i).split("\n"))
+        marginals = model.marginals(features)
+        assert marginals[:n].mean() > 0.8 and marginals[n:].mean() < 0.2
+        assert model.score(good(i)) > 0.9 > 0.1 > model.score(bad(i))
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(i % 40, f"{prose(20, i % 40)}.\n{prose(9, i % 40)}.") for i in range(400)] + [(50, "X X X\n" * 500), (51, "X! X! X!\n" * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i // 50) for i in range(60)] + [(1, 7), (None, 1)], "doc_id long, quality int")
+    seen = []
+    import lexifix.llm.line_crf as module
+
+    original = module.fit
+    module.fit = lambda docs: seen.append(docs) or original(docs)
+    try:
+        train(docs, labels, n_docs=10, folds=1000)
+    finally:
+        module.fit = original
+    assert sorted(d[2] for d in seen[0]) == [0] + [1] * 10  # repeated rows once, the text of 500 lines not
+
+
 def test_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     model = train(odd_docs(spark), labels)
