@@ -56,7 +56,7 @@ def test_blocks_below_the_kth_score_are_skipped():
         blocks.append(Block.of(np.arange(b * 32, b * 32 + 32), np.arange(b * 32, b * 32 + 32), rows.astype(np.int64)))
     plain = block_topk._product
     try:
-        block_topk._product = lambda a, b: (scored.append(len(b)), plain(a, b))[1]
+        block_topk._product = lambda a, b, *x: (scored.append(len(b)), plain(a, b, *x))[1]
         q, ids, _ = search_tile(np.ones((1, 4), np.int64), np.array([-1]), blocks, 5)
     finally:
         block_topk._product = plain
@@ -68,3 +68,25 @@ def test_exact_beyond_floating_point():
     a = np.array([[3 << 30, 1]], np.int64)
     b = np.array([[1 << 31, 1], [1 << 31, 0]], np.int64)
     assert block_topk._product(a, b).tolist() == [[(3 << 61) + 1, 3 << 61]]
+
+
+def test_too_large_numbers_are_errors(spark):
+    with pytest.raises(OverflowError):
+        block_topk._product(np.array([[1 << 40]], np.int64), np.array([[1 << 40]], np.int64))
+    assert block_topk._product(np.array([[1 << 40]], np.int64), np.array([[1 << 40]], np.int64), True).tolist() == [[(1 << 63) - 1]]
+    for rows in ([(0, [1e30]), (1, [1.0])], [(0, [1e15]), (1, [1e15])]):
+        with pytest.raises(Exception, match="64 bits"):
+            top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+
+
+def test_clashing_columns(spark):
+    rows = [(i, [0.1 * i, -0.2]) for i in range(25)]
+    df = table(spark, rows).withColumns({c: F.lit("x") for c in ("id", "rid", "v", "shard", "score", "floor", "rank", "query_id")})
+    assert sorted(map(tuple, top_k(df, F.col("id") % 20 == 0).collect())) == brute(rows, 20)
+
+
+def test_few_queries_leave_their_shard():
+    """Vectors that lie apart: a query's other shards are pruned by its kth score."""
+    queries = np.array([[5, 0], [0, 5]], np.int64)
+    most, least = np.array([[9, 1], [1, 9]], np.int64), np.array([[5, 0], [0, 5]], np.int64)
+    assert block_topk._bounds(queries, most, least).tolist() == [[45, 5], [5, 45]]
