@@ -2,24 +2,26 @@
 
 1. Every text gets a 64-bit fingerprint: a majority vote of its shingles' hashes, bit by bit.
 2. Equal fingerprints collapse to one row. Each keeps its Hamming distances to fixed reference fingerprints (pivots).
-3. Fingerprints at most 2 bits apart agree in at least two of four 16-bit bands, so each is put in six buckets, one for
-   each pair of bands. Inside a bucket, pairs whose distances to any pivot differ by more than 2 are discarded (by the
-   triangle inequality they are further apart), sorted by the first pivot so that far rows never meet; survivors are
-   verified. A crowded bucket is first split by bands of the bits it hasn't fixed, which loses no pair.
-4. Buckets emit a spanning forest of their links, never all pairs; components come from alternating large-star and
+3. The distances to the first few pivots are the partition key: cells are ranges of WIDTH distances to each, and a row
+   lies in its own cell and in the next one where it is within 2 of it, so rows at most 2 bits apart meet in a cell. More
+   pivots make the key as the table grows. In a cell, pairs whose distances to any pivot differ by more than 2 are
+   discarded (by the triangle inequality they are further apart), sorted by one pivot so that far rows never meet;
+   survivors are verified. Crowded cells are split over tasks by pairs of 16-bit bands, and those by bands of the bits
+   that they haven't fixed, which loses no pair: fingerprints at most 2 bits apart agree in two of four bands at least.
+4. Cells emit a spanning forest of their links, never all pairs; components come from alternating large-star and
    small-star steps on tables in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +32,13 @@ SHINGLE = 3
 RADIUS = 2
 N_PIVOTS = 16
 BANDS = 4
-#: Larger buckets are split by further bands first.
+#: Distances to a pivot that are one cell; more than RADIUS.
+WIDTH = 3
+#: Larger cells are split by bands. About this part of the rows is in one range of a pivot's distances.
 CROWDED = 2048
+RANGE_SHARE = 6
+#: Pivots that make the partition key at most.
+KEY_PIVOTS = 8
 #: Pairs compared at once.
 PAIR_BLOCK = 1 << 20
 
@@ -105,11 +112,16 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _close_pairs(fp: np.ndarray, coords: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs at most RADIUS bits apart, by the distance table first and the fingerprints then."""
-    order = np.argsort(coords[:, 0], kind="stable")
+def _close_pairs(fp: np.ndarray, coords: np.ndarray, seen: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs at most RADIUS bits apart, by the distance table first and the fingerprints then.
+
+    Rows are sorted by the last pivot, which is in no key. ``seen`` counts pairs: in the cell, met after the sort,
+    left by the table, linked.
+    """
+    by = coords.shape[1] - 1
+    order = np.argsort(coords[:, by], kind="stable")
     fp, coords = fp[order], coords[order].astype(np.int16)
-    last = np.searchsorted(coords[:, 0], coords[:, 0] + RADIUS, "right")
+    last = np.searchsorted(coords[:, by], coords[:, by] + RADIUS, "right")
     reach = last - np.arange(len(fp)) - 1
     ends = np.cumsum(reach)
     start = 0
@@ -119,17 +131,23 @@ def _close_pairs(fp: np.ndarray, coords: np.ndarray) -> Iterator[tuple[np.ndarra
         take = reach[start:stop]
         i = np.repeat(np.arange(start, stop), take)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(take) - take, take)
-        for k in range(1, coords.shape[1]):
+        met = len(i)
+        for k in range(by - 1, -1, -1):
             if not len(i):
                 break
             near = np.abs(coords[i, k] - coords[j, k]) <= RADIUS
             i, j = i[near], j[near]
         near = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
+        if seen is not None:
+            for name, n in (("met", met), ("verified", len(i)), ("linked", int(near.sum()))):
+                seen[name] = seen.get(name, 0) + n
         yield order[i[near]], order[j[near]]
         start = stop
 
 
-def link(fp: np.ndarray, coords: np.ndarray, bits: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def link(
+    fp: np.ndarray, coords: np.ndarray, bits: list[int], seen: dict[str, int] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among distinct fingerprints that can differ in ``bits`` only: (index, index of its root) arrays."""
     if len(fp) > CROWDED and len(bits) > 2 * BANDS:
         bands = _bands(bits)
@@ -141,10 +159,12 @@ def link(fp: np.ndarray, coords: np.ndarray, bits: list[int]) -> Iterator[tuple[
             cuts = np.flatnonzero(np.diff(key[order])) + 1
             for group in np.split(order, cuts):
                 if len(group) > 1:
-                    for a, b in link(fp[group], coords[group], rest):
+                    for a, b in link(fp[group], coords[group], rest, seen):
                         yield group[a], group[b]
         return
-    found = list(_close_pairs(fp, coords))
+    if seen is not None:
+        seen["pairs"] = seen.get("pairs", 0) + len(fp) * (len(fp) - 1) // 2
+    found = list(_close_pairs(fp, coords, seen))
     i, j = (np.concatenate([p[k] for p in found]) for k in (0, 1))
     label = _forest(len(fp), i, j)
     moved = np.flatnonzero(label != np.arange(len(fp)))
@@ -155,40 +175,52 @@ def _unpack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([x.astype("<i8").view(np.uint8).reshape(-1, 8) for x in (a, b)], axis=1)
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket; the last bucket of a batch waits for the next batch."""
+def _cell_links(count: bool):
+    """Rows (cell, which bands, their bits, fp, c1, c2) sorted by the first three to links, or to counts of pairs; the
+    last cell of a batch waits for the next batch."""
     bands = _bands(list(range(64)))
     rests = [[b for k in range(BANDS) if k not in pair for b in bands[k]] for pair in combinations(range(BANDS), 2)]
-
-    def solve(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        which, key, fp, c1, c2 = rows
-        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(which) != 0)) + 1
-        starts, ends = np.r_[0, cuts], np.r_[cuts, len(key)]
-        a, b = [], []
-        many = ends - starts > 1
-        for s, e in zip(starts[many].tolist(), ends[many].tolist()):
-            own = fp[s:e].view(np.uint64)
-            for i, j in link(own, _unpack(c1[s:e], c2[s:e]), rests[int(which[s])]):
-                a.append(own[i])
-                b.append(own[j])
-        if a:
-            left, right = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["u", "v"])
-
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-        if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows)]
-        same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
-        first = int(np.argmax(same))
-        held = [x[first:] for x in rows]
-        if first:
-            yield from solve([x[:first] for x in rows])
-    if held is not None:
-        yield from solve(held)
+    rests.append(list(range(64)))  # which = -1: a whole cell
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] | None = {} if count else None
+
+        def solve(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            cell, which, key, fp, c1, c2 = (np.concatenate(x) for x in zip(*parts))
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(key) != 0) | (np.diff(which) != 0)) + 1
+            starts, ends = np.r_[0, cuts], np.r_[cuts, len(key)]
+            a, b = [], []
+            many = ends - starts > 1
+            for s, e in zip(starts[many].tolist(), ends[many].tolist()):
+                own = fp[s:e].view(np.uint64)
+                for i, j in link(own, _unpack(c1[s:e], c2[s:e]), rests[int(which[s])], seen):
+                    a.append(own[i])
+                    b.append(own[j])
+            if a and not count:
+                left, right = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["u", "v"])
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            if held and any(held[-1][k][-1] != rows[k][0] for k in range(3)):
+                yield from solve(held)
+                held = []
+            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
+            first = int(np.argmax(same))
+            if first:
+                yield from solve([*held, [x[:first] for x in rows]])
+                held = []
+            held.append([x[first:] for x in rows])
+        if held:
+            yield from solve(held)
+        if seen:
+            names = ["pairs", "met", "verified", "linked"]
+            yield pa.RecordBatch.from_arrays([pa.array([seen.get(n, 0)], pa.int64()) for n in names], names=names)
+
+    return run
 
 
 def distance_table(fps: DataFrame) -> DataFrame:
@@ -205,17 +237,50 @@ def distance_table(fps: DataFrame) -> DataFrame:
     return fps.withColumn("c1", packed(signed[:8])).withColumn("c2", packed(signed[8:]))
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """Spanning links (u, v) of distinct fingerprints (column ``fp``) at most RADIUS bits apart."""
+def cells(fps: DataFrame, pivots_in_key: int) -> DataFrame:
+    """(fp, c1, c2, cell): the rows of the distance table in each of their cells."""
+    table = distance_table(fps.select("fp"))
+
+    def step(found: Column, k: int) -> Column:
+        d = F.shiftright("c1", 8 * k).bitwiseAND(F.lit(255))
+        here = F.array_distinct(F.array(F.floor(d / WIDTH), F.floor((d + RADIUS) / WIDTH)))
+        return F.flatten(F.transform(found, lambda c: F.transform(here, lambda x: c.bitwiseOR(F.shiftleft(x, 5 * k)))))
+
+    found = reduce(step, range(pivots_in_key), F.array(F.lit(0).cast("bigint")))
+    return table.withColumn("cell", F.explode(found))
+
+
+def _split_cells(fps: DataFrame) -> DataFrame:
+    """Rows (cell, w, k, fp, c1, c2): whole cells, and crowded ones in a bucket for each pair of bands."""
+    n = fps.count()
+    depth = 1
+    while depth < KEY_PIVOTS and n > CROWDED * RANGE_SHARE**depth:
+        depth += 1
+    rows = cells(fps, depth)
+    crowded = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
+    found = lookup(rows, written(crowded.withColumn("crowded", F.lit(True)), "crowded-cells"), "cell", "n", F.col("fp"))
     bands = _bands(list(range(64)))
     keys = []
-    for n, pair in enumerate(combinations(range(BANDS), 2)):
+    for w, pair in enumerate(combinations(range(BANDS), 2)):
         mask = sum(1 << b for k in pair for b in bands[k])
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(n).alias("w"), F.col("fp").bitwiseAND(F.lit(mask).cast("bigint")).alias("k")))
-    rows = distance_table(fps.select("fp")).withColumn("b", F.explode(F.array(*keys)))
-    rows = rows.select(F.col("b.w").alias("w"), F.col("b.k").alias("k"), "fp", "c1", "c2")
-    return rows.repartition("w", "k").sortWithinPartitions("w", "k").mapInArrow(_bucket_links, "u long, v long")
+        keys.append(F.struct(F.lit(w).alias("w"), F.col("fp").bitwiseAND(F.lit(mask).cast("bigint")).alias("k")))
+    whole = F.array(F.struct(F.lit(-1).alias("w"), F.lit(0).cast("bigint").alias("k")))
+    found = found.withColumn("b", F.explode(F.when(F.col("crowded"), F.array(*keys)).otherwise(whole)))
+    found = found.select("cell", F.col("b.w").alias("w"), F.col("b.k").alias("k"), "fp", "c1", "c2")
+    return found.repartition("cell", "w", "k").sortWithinPartitions("cell", "w", "k")
+
+
+def fingerprint_links(fps: DataFrame) -> DataFrame:
+    """Spanning links (u, v) of distinct fingerprints (column ``fp``) at most RADIUS bits apart."""
+    return _split_cells(fps).mapInArrow(_cell_links(False), "u long, v long")
+
+
+def pair_counts(fps: DataFrame) -> DataFrame:
+    """One row on the pairs of distinct fingerprints: in a cell, met after the sort by a pivot, left to verify by the
+    whole distance table, linked (a pair in several cells counts in each)."""
+    counts = _split_cells(fps).mapInArrow(_cell_links(True), "pairs long, met long, verified long, linked long")
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns])
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -67,7 +67,10 @@ def test_links_within_a_bucket(monkeypatch, crowded):
     assert sorted({tuple(sorted(g)) for g in merged.values()}) == [tuple(g) for g in groups(values)]
 
 
-def test_components_of_fingerprints(spark):
+@pytest.mark.parametrize("crowded", [2048, 40, 4])
+def test_components_of_fingerprints(spark, monkeypatch, crowded):
+    """Cells of one to four pivots' distances, whole and split by bands."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     values = near(200, 5, 4)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     fps = spark.createDataFrame([(v,) for v in signed], "fp long")
@@ -77,6 +80,29 @@ def test_components_of_fingerprints(spark):
     assert sorted(sorted(g) for g in got.values()) == [g for g in groups(values) if len(g) > 1]
 
 
+def test_close_pairs_share_a_cell(spark):
+    rnd = random.Random(8)
+    pairs = []
+    for _ in range(200):
+        v = rnd.getrandbits(64)
+        pairs.append((v, v ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64))))
+    sign = lambda v: v - (1 << 64) if v >> 63 else v
+    fps = spark.createDataFrame([(sign(v),) for p in pairs for v in p], "fp long")
+    for depth in (1, 4, 8):
+        found = {}
+        for r in simhash.cells(fps, depth).collect():
+            found.setdefault(r.fp, set()).add(r.cell)
+        assert all(found[sign(a)] & found[sign(b)] for a, b in pairs)
+
+
+def test_pivots_discard_most_pairs(spark):
+    rnd = random.Random(4)
+    fps = spark.createDataFrame([(rnd.getrandbits(63),) for _ in range(3000)], "fp long")
+    n = simhash.pair_counts(fps).first()
+    assert 0 < n.pairs < 3000 * 2999 // 2 and n.verified < n.met / 100 and n.met < n.pairs
+    assert tuple(simhash.pair_counts(fps.limit(0)).first()) == (0, 0, 0, 0)
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
