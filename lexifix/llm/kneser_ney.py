@@ -35,6 +35,9 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b"\n"
 #: Tokens counted together in memory.
 BLOCK_TOKENS = 2_000_000
+#: Bytes of text that a shard of the model is counted from, about, and the number of shards at most (as a power of two).
+SHARD_TEXT = 32 << 20
+MOST_BITS = 20
 #: Words whose hashes a worker remembers.
 CACHED_WORDS = 400_000
 
@@ -124,9 +127,13 @@ def by_shard(shard: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, indices) of the shards that occur; indices keep their order."""
     order = np.argsort(shard.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(n + 1))
-    for s in range(n):
-        if cuts[s] < cuts[s + 1]:
-            yield s, order[cuts[s] : cuts[s + 1]]
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        yield s, order[cuts[s] : cuts[s + 1]]
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """32 bits a count where those do."""
+    return counts.astype("<u4" if counts.max(initial=0) < 1 << 32 else "<u8")
 
 
 _PARTS = "shard int, a binary, b binary, c binary"
@@ -148,7 +155,7 @@ def _count_words(bits: int):
         for _, tokens, _ in blocks(batches, 0):
             words, counts = np.unique(tokens, return_counts=True)
             shard = (words >> np.uint64(64 - bits)).astype(np.int64)
-            rows = [(s, pack(words[i]), pack(counts[i].astype("<u4")), b"") for s, i in by_shard(shard, 1 << bits)]
+            rows = [(s, pack(words[i]), pack(counts[i].astype("<u8")), b"") for s, i in by_shard(shard, 1 << bits)]
             yield part_batch(rows)
 
     return run
@@ -157,7 +164,7 @@ def _count_words(bits: int):
 def _merge_words(folder: str):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        words, counts, _ = part_arrays(table, ("<u8", "<u4", "<u4"))
+        words, counts, _ = part_arrays(table, ("<u8", "<u8", "<u4"))
         words, counts = summed(words, counts.astype(np.int64))
         save(folder, f"vocab-{shard}.npy", {"words": words, "counts": counts})
         return pa.table({"shard": [shard], "n": [len(words)], "total": [int(counts.sum())]})
@@ -211,7 +218,7 @@ def _count_pairs(folder: str, bits: int, bases: list[int]):
             keys, counts = np.unique((before.astype(np.uint64) << np.uint64(32)) | numbers.astype(np.uint64), return_counts=True)
             shard = (mixed(keys) >> np.uint64(64 - bits)).astype(np.int64)
             rows = [
-                (s, pack((keys[i] >> np.uint64(32)).astype("<u4")), pack(keys[i].astype("<u4")), pack(counts[i].astype("<u4")))
+                (s, pack((keys[i] >> np.uint64(32)).astype("<u4")), pack(keys[i].astype("<u4")), pack(counts[i].astype("<u8")))
                 for s, i in by_shard(shard, 1 << bits)
             ]
             yield part_batch(rows)
@@ -227,16 +234,16 @@ _STATS = "kind int, shard int, a binary, b binary, c binary"
 def _merge_pairs(folder: str, bits: int, bases: list[int]):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard, n = key[0].as_py(), 1 << bits
-        first, second, counts = part_arrays(table, ("<u4", "<u4", "<u4"))
+        first, second, counts = part_arrays(table, ("<u4", "<u4", "<u8"))
         keys, counts = summed((first.astype(np.uint64) << np.uint64(32)) | second, counts.astype(np.int64))
-        save(folder, f"pairs-{shard}.npy", {"keys": keys, "counts": counts.astype("<u4")})
+        save(folder, f"pairs-{shard}.npy", {"keys": keys, "counts": narrow(counts)})
         vocabulary = Vocabulary(folder, bits, bases)
         seen = np.stack([counts, counts == 1, counts == 2, counts > 2], axis=1).astype(np.int64)
         contexts, seen = summed((keys >> np.uint64(32)).astype(np.int64), seen)
         words, follows = summed((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), np.ones(len(keys), np.int64))
         rows = []
         for s, i in by_shard(vocabulary.shards_of(contexts), n):
-            rows.append((_AS_CONTEXT, s, pack(contexts[i].astype("<u4")), pack(seen[i, 0].astype("<u4")), pack(seen[i, 1:].astype("<u4"))))
+            rows.append((_AS_CONTEXT, s, pack(contexts[i].astype("<u4")), pack(seen[i, 0].astype("<u8")), pack(seen[i, 1:].astype("<u4"))))
         for s, i in by_shard(vocabulary.shards_of(words), n):
             rows.append((_AS_WORD, s, pack(words[i].astype("<u4")), pack(follows[i].astype("<u4")), b""))
         tally = np.array([np.count_nonzero(counts == k) for k in range(1, 5)], "<i8")
@@ -256,7 +263,7 @@ def _merge_contexts(folder: str, bits: int, bases: list[int]):
         for kind, a, b, c in zip(*(table.column(n).to_pylist() for n in ("kind", "a", "b", "c"))):
             at = unpack(a, "<u4").astype(np.int64) - low
             if kind == _AS_CONTEXT:  # a sender's words are distinct
-                total[at] += unpack(b, "<u4")
+                total[at] += unpack(b, "<u8").astype(np.int64)
                 seen[at] += unpack(c, "<u4").reshape(-1, 3)
             else:
                 follows[at] += unpack(b, "<u4")
@@ -285,8 +292,10 @@ def train(docs: DataFrame, folder: str, text_col: str = "text") -> dict:
     """Count all rows of ``docs`` into ``folder`` (a shared folder's URI); the model's manifest, also written there."""
     spark, target = docs.sparkSession, local_path(folder)
     ensure_shipped(spark)
-    bits = max(1, min(16, (partitions(spark) - 1).bit_length()))
     texts = docs.select(text_col)
+    size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    # shards of a size that doesn't depend on the table's, and enough of them for all tasks
+    bits = max(1, min(MOST_BITS, (max(partitions(spark), -(-size // SHARD_TEXT)) - 1).bit_length()))
     words = texts.mapInArrow(_count_words(bits), _PARTS)
     merged = words.groupBy("shard").applyInArrow(_merge_words(target), "shard long, n long, total long").collect()  # a row a shard
     sizes = {r.shard: r.n for r in merged}
@@ -332,6 +341,7 @@ class Scorer:
         self.vocabulary = Vocabulary(folder, model["bits"], model["bases"])
         self.pairs: dict[int, list[np.ndarray]] = {}
         self.contexts: dict[int, list[np.ndarray]] = {}
+        self.known_contexts = set(model["contexts"])
 
     def _pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct keys."""
@@ -351,7 +361,7 @@ class Scorer:
         """(sum of counts, followers seen once, twice, more; contexts followed) of sorted distinct word numbers."""
         total, seen, follows = np.zeros(len(numbers), np.int64), np.zeros((len(numbers), 3)), np.zeros(len(numbers), np.int64)
         for s, i in by_shard(self.vocabulary.shards_of(numbers), 1 << self.model["bits"]):
-            if s not in self.model["contexts"]:
+            if s not in self.known_contexts:
                 continue
             if s not in self.contexts:
                 self.contexts[s] = mapped(f"{self.folder}/ctx-{s}.npy", 3)

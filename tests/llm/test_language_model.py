@@ -1,11 +1,15 @@
 import math
 import re
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import no_docs, odd_docs, odd_rows, prose
 
+from lexifix.llm import kneser_ney
 from lexifix.llm.common import shared_dir
 from lexifix.llm.kneser_ney import discounts, log_probabilities, train
 
@@ -87,3 +91,18 @@ def test_empty_table(spark):
     rows = log_probabilities(odd_docs(spark), folder, model).collect()
     assert {(r.score, r.base_score, r.n_known) for r in rows} == {(0.0, 0.0, 0)}
     assert log_probabilities(no_docs(spark), folder, model).count() == 0
+
+
+def test_counts_beyond_32_bits():
+    big = np.array([3, 1 << 33], np.int64)
+    assert kneser_ney.narrow(big).tolist() == big.tolist() and kneser_ney.narrow(big[:1]).dtype.itemsize == 4
+    words, counts = np.array([5, 9], "<u8"), np.array([1 << 33, 7], "<u8")
+    row = kneser_ney.part_batch([(0, kneser_ney.pack(words), kneser_ney.pack(counts), b"")] * 2)
+    with tempfile.TemporaryDirectory() as folder:
+        out = kneser_ney._merge_words(folder)((pa.scalar(0),), pa.Table.from_batches([row]))
+        assert out.to_pylist() == [{"shard": 0, "n": 2, "total": 2 * ((1 << 33) + 7)}]
+
+
+def test_discounts_by_hand():
+    """Y = n1 / (n1 + 2 n2); D1 = 1 - 2Y n2/n1, D2 = 2 - 3Y n3/n2, D3+ = 3 - 4Y n4/n3: 100, 50, 20, 10 give Y = 1/2."""
+    assert discounts([100, 50, 20, 10]) == pytest.approx([0.5, 1.4, 2.0])
