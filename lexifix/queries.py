@@ -74,11 +74,12 @@ def osa_sql(a: str, b: str) -> str:
         CASE WHEN {swap} THEN s.p2[y[1] - 1] + 1 ELSE 2147483647 END)))}}).p1[length({b}) + 1] END"""
 
 
-def _brute(k: str, max_k: int, floor: str = "") -> str:
+def _brute(k: str, max_k: int, floor: str = "", strange: bool = False) -> str:
     """Matches of every input with every term; bytes bound characters from above, two bytes a letter at most here."""
     near = f"abs(length(i.q) - length(w.term)) <= i.k AND damerau_levenshtein(i.q, w.term) <= 2 * {max_k}"
     return f"""{_WORDS}, {_INPUTS},
-keyed AS (SELECT id, input, lower(input) AS q, {k} AS k FROM inputs),
+asked AS (SELECT id, input FROM inputs{" UNION ALL SELECT id, 'zqx' || w || 'xqz' FROM inputs" if strange else ""}),
+keyed AS (SELECT id, input, lower(input) AS q, {k} AS k FROM asked),
 close AS (SELECT i.id, i.input, i.q, i.k, w.term, w.count FROM keyed i JOIN words w ON {near}),
 far AS (SELECT *, ({osa_sql('q', 'term')})::INT AS distance FROM close),
 found AS (
@@ -165,7 +166,8 @@ def q_lookup_exact(spark, sf_dir):
 
 
 def q_lookup_unknown(spark, sf_dir):
-    return unknown(_inputs(spark, sf_dir), _dictionary(spark, sf_dir), 1)
+    strange = _part_words(spark, sf_dir).select("id", F.concat(F.lit("zqx"), "w", F.lit("xqz")).alias("input"))
+    return unknown(_inputs(spark, sf_dir).unionByName(strange), _dictionary(spark, sf_dir), 1)
 
 
 def q_lookup_all_k1(spark, sf_dir):
@@ -242,6 +244,14 @@ def _corpus(table: str) -> str:
     return f"SELECT unnest({_DOC_TOKENS}) AS term FROM {table}"
 
 
+_CASED = """list_reduce(list_concat([{'i': 0, 'out': '', 'up': false}], list_transform(range(1, length(target) + 1), lambda i: {'i': i, 'out': '', 'up': false})),
+  lambda a, x: CASE
+    WHEN x.i > length(source) THEN {'i': x.i, 'out': a.out || CASE WHEN a.up THEN upper(substr(target, x.i, 1)) ELSE substr(target, x.i, 1) END, 'up': a.up}
+    WHEN regexp_matches(substr(source, x.i, 1), '^\\p{Lu}$') THEN {'i': x.i, 'out': a.out || upper(substr(target, x.i, 1)), 'up': x.i > 1}
+    WHEN a.up AND regexp_matches(substr(source, x.i, 1), '^\\s$') AND NOT regexp_matches(substr(target, x.i, 1), '^\\s$')
+      THEN {'i': x.i, 'out': a.out || upper(substr(target, x.i, 1)), 'up': true}
+    ELSE {'i': x.i, 'out': a.out || substr(target, x.i, 1), 'up': false} END).out"""
+
 ORACLE_SQL = {
     "q_tokens": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_DOC_TOKENS} AS t FROM documents)",
     "q_dictionary_build": f"WITH {_WORDS} SELECT * FROM words",
@@ -259,7 +269,7 @@ ORACLE_SQL = {
 p AS (SELECT a, lower(n_name) AS b FROM a, nation), d AS (SELECT a, b, ({osa_sql('a', 'b')})::INT AS distance FROM p)
 SELECT a, b, distance, CASE WHEN distance <= 2 THEN distance END AS within_2 FROM d""",
     "q_lookup_exact": f"WITH {_WORDS}, {_INPUTS}, i AS (SELECT id, w AS input FROM inputs UNION ALL SELECT id, input FROM inputs) SELECT id, input, term, 0 AS distance, count, 1 AS rank FROM i JOIN words ON lower(input) = term",
-    "q_lookup_unknown": f"WITH {_K1} SELECT id, input FROM inputs ANTI JOIN found USING (id, input)",
+    "q_lookup_unknown": f"WITH {_brute('1', 1, strange=True)} SELECT id, input FROM asked ANTI JOIN found USING (id, input)",
     "q_lookup_all_k1": f"WITH {_K1} {_OUT}",
     "q_lookup_all_k2": f"WITH {_brute('2', 2)} {_OUT}",
     "q_lookup_closest": f"WITH {_brute('2', 2)} {_OUT} WHERE distance = least",
@@ -268,5 +278,8 @@ SELECT a, b, distance, CASE WHEN distance <= 2 THEN distance END AS within_2 FRO
     "q_lookup_thresholds": "WITH "
     + _brute("CASE WHEN length(input) >= 6 THEN 2 WHEN length(input) >= 4 THEN 1 ELSE 0 END", 2).replace("OR true", "OR length(term) >= 2")
     + f" {_OUT}",
+    "q_transfer_case": f"""SELECT source, target, CASE WHEN lower(source) = lower(target) THEN source ELSE {_CASED} END AS result FROM (
+  SELECT DISTINCT array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS source,
+    lower(p_brand) AS target FROM part)""",
     "q_lookup_preserve_case": f"WITH {_K1} SELECT id, upper(input) AS input, upper(term) AS term, distance, count, rank FROM found WHERE rank = 1",
 }
