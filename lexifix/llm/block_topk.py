@@ -156,7 +156,7 @@ def _load(path: str, count: int) -> list[np.ndarray]:
 
 
 def _write_shards(folder: str, shard_rows: int):
-    """Rows sorted by id to a file of shards' blocks for each task: (shard, most, least) of each shard."""
+    """Rows sorted by id to a file of shards' blocks for each task: (shard, most, least, smallest id) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held = TaskContext.get().partitionId(), 0, []
@@ -169,9 +169,9 @@ def _write_shards(folder: str, shard_rows: int):
             ids, rids = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
             most, least = np.maximum.reduceat(matrix, cuts, axis=0), np.minimum.reduceat(matrix, cuts, axis=0)
             _save(f"{folder}/shard-{name}", [ids, rids, matrix, most, least])
-            columns = [[name], [most.max(axis=0).tolist()], [least.min(axis=0).tolist()]]
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "most", "least"])
+            columns = [[name], [most.max(axis=0).tolist()], [least.min(axis=0).tolist()], [int(ids.min())]]
+            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "most", "least", "low"])
 
         for batch in batches:
             held += zip(*(batch.column(c).to_pylist() for c in range(3)))
@@ -185,26 +185,27 @@ def _write_shards(folder: str, shard_rows: int):
 
 
 def _write_bounds(folder: str):
-    """The shards' names and bounds to one file; a shard costs two numbers a term."""
+    """The shards' names, smallest ids and bounds to one file, by smallest id; a shard costs two numbers a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in range(3))))
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in range(4)))]
+        rows.sort(key=lambda r: (r[3], r[0]))
         width = max((len(r[1]) for r in rows), default=0)
-        names = np.array([[int(x) for x in r[0].split("-")] for r in rows], np.int64).reshape(-1, 2)
+        names = np.array([[*map(int, r[0].split("-")), r[3]] for r in rows], np.int64).reshape(-1, 3)
         _save(f"{folder}/bounds", [names, _matrix([r[1] for r in rows], width), _matrix([r[2] for r in rows], width)])
         yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["shards"])
 
     return run
 
 
-_SENT = "shard int, id long, rid long, v array<long>, floor long"
-_FOUND = "shard int, id long, rid long, v array<long>, floor long, vec_id long, score long"
+_SENT = "shard int, id long, rid long, v array<long>, floor long, floor_id long"
+_FOUND = _SENT + ", vec_id long, score long"
 
 
-def _sent(shard, ids, rids, vectors, floor, vec_id=None, score=None) -> pa.RecordBatch:
+def _sent(shard, ids, rids, vectors, floor, floor_id, vec_id=None, score=None) -> pa.RecordBatch:
     columns = [pa.array(shard, pa.int32()), pa.array(ids, pa.int64()), pa.array(rids, pa.int64())]
-    columns += [pa.array(vectors, pa.list_(pa.int64())), pa.array(floor, pa.int64())]
-    names = ["shard", "id", "rid", "v", "floor"]
+    columns += [pa.array(vectors, pa.list_(pa.int64())), pa.array(floor, pa.int64()), pa.array(floor_id, pa.int64())]
+    names = ["shard", "id", "rid", "v", "floor", "floor_id"]
     if vec_id is not None:
         columns += [pa.array(vec_id, pa.int64()), pa.array(score, pa.int64())]
         names += ["vec_id", "score"]
@@ -220,14 +221,14 @@ def _to_best(folder: str, query_rows: int):
             for at in range(0, batch.num_rows, query_rows):
                 ids, rids, vectors = (batch.column(c).slice(at, query_rows).to_pylist() for c in range(3))
                 best = _bounds(_matrix(vectors), most, least).argmax(axis=1)
-                yield _sent(best, ids, rids, vectors, [LOWEST] * len(ids))
+                yield _sent(best, ids, rids, vectors, [LOWEST] * len(ids), [LOWEST] * len(ids))
 
     return run
 
 
 def _search(folder: str, k: int, spread: bool, query_rows: int):
     """Queries sorted by shard to what they find there; ``spread``: also, as rows without a score, the queries for the
-    other shards whose bound reaches their kth score."""
+    other shards that may hold something before their kth row: a greater score, or an equal one with a smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, most, least = _load(f"{folder}/bounds", 3)
@@ -239,31 +240,33 @@ def _search(folder: str, k: int, spread: bool, query_rows: int):
                 ids, rids, matrix, top, low = _load(f"{folder}/shard-{names[shard][0]}-{names[shard][1]}", 5)
                 cuts = [slice(b, b + BLOCK_ROWS) for b in range(0, len(ids), BLOCK_ROWS)]
                 open_ = shard, [Block(ids[c], rids[c], matrix[c], top[n], low[n]) for n, c in enumerate(cuts)]
-            ids, rids, vectors, floors = (list(x) for x in zip(*rows))
-            queries, floor = _matrix(vectors), np.array(floors, np.int64)
+            ids, rids, vectors, floors, floor_ids = (list(x) for x in zip(*rows))
+            queries, floor, floor_id = _matrix(vectors), np.array(floors, np.int64), np.array(floor_ids, np.int64)
             q, vec, score = search_tile(queries, np.array(rids, np.int64), open_[1], k, floor)
-            if len(q):
-                nulls = [None] * len(q)
-                yield _sent(nulls, [ids[i] for i in q], [rids[i] for i in q], nulls, nulls, vec, score)
+            better = (score > floor[q]) | ((score == floor[q]) & (vec < floor_id[q]))
+            if better.any():
+                own = q[better].tolist()
+                nulls = [None] * len(own)
+                yield _sent(nulls, [ids[i] for i in own], [rids[i] for i in own], nulls, nulls, nulls, vec[better], score[better])
             if not spread:
                 return
-            count = np.bincount(q, minlength=len(ids))
-            kth = np.full(len(ids), LOWEST)
-            full = np.flatnonzero(count == k)
-            least_score = np.full(len(ids), np.iinfo(np.int64).max)
-            np.minimum.at(least_score, q, score)
-            kth[full] = least_score[full]
-            reach = _bounds(queries, most, least) >= kth[:, None]
+            kth, kth_id = np.full(len(ids), LOWEST), np.full(len(ids), np.iinfo(np.int64).max)
+            full = np.flatnonzero(np.bincount(q, minlength=len(ids)) == k)
+            last = np.searchsorted(q, full, "right") - 1  # rows are sorted by query, score and id
+            kth[full], kth_id[full] = score[last], vec[last]
+            bounds = _bounds(queries, most, least)
+            reach = (bounds > kth[:, None]) | ((bounds == kth[:, None]) & (names[:, 2] < kth_id[:, None]))
             reach[:, shard] = False
             i, s = np.nonzero(reach)
             for at in range(0, len(i), 4096):
                 a = i[at : at + 4096]
                 nulls = [None] * len(a)
-                yield _sent(s[at : at + 4096], [ids[x] for x in a], [rids[x] for x in a], [vectors[x] for x in a], kth[a], nulls, nulls)
+                lists = [ids[x] for x in a], [rids[x] for x in a], [vectors[x] for x in a]
+                yield _sent(s[at : at + 4096], *lists, kth[a], kth_id[a], nulls, nulls)
 
         shard, held = -1, []
         for batch in batches:
-            for s, *row in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            for s, *row in zip(*(batch.column(c).to_pylist() for c in range(6))):
                 if held and (s != shard or len(held) >= query_rows):
                     yield from solve(shard, held)
                     held = []
@@ -288,7 +291,7 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embed
     folder = local_path(shared_dir(spark, "vector-shards"))
     parts = max(partitions(spark), -(-rows.count() // (8 * SHARD_ROWS)))
     sorted_rows = rows.repartitionByRange(parts, "id", "rid").sortWithinPartitions("id", "rid")
-    bounds = written(sorted_rows.mapInArrow(_write_shards(folder, SHARD_ROWS), "shard string, most array<long>, least array<long>"), "bounds")
+    bounds = written(sorted_rows.mapInArrow(_write_shards(folder, SHARD_ROWS), "shard string, most array<long>, least array<long>, low long"), "bounds")
     n_shards = bounds.coalesce(1).mapInArrow(_write_bounds(folder), "shards long").first()
     if not n_shards or not n_shards.shards:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

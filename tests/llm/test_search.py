@@ -90,3 +90,10 @@ def test_few_queries_leave_their_shard():
     queries = np.array([[5, 0], [0, 5]], np.int64)
     most, least = np.array([[9, 1], [1, 9]], np.int64), np.array([[5, 0], [0, 5]], np.int64)
     assert block_topk._bounds(queries, most, least).tolist() == [[45, 5], [5, 45]]
+
+
+def test_large_group_of_equal_vectors(spark, monkeypatch):
+    """Ties beyond the kth id are neither sent for nor sent back."""
+    monkeypatch.setattr(block_topk, "SHARD_ROWS", 16)
+    rows = [(i, [0.5, 0.25]) for i in range(300)] + [(400 + i, [0.01 * i, 0.0]) for i in range(60)]
+    assert run(spark, rows) == brute(rows, 20)
