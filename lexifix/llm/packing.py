@@ -1,14 +1,17 @@
 """Packing of token sequences with lexical neighbours.
 
-Documents are dealt out by hash to shards of a few MB of text, each with its own inverted index over token ids. In a
-shard, the next unused document is the seed of a sequence; the index returns its BM25 neighbours, and unused ones fill
-the window best first. The document that overruns the window is cut and its rest is the seed of the next sequence, so
-only a shard's last sequence is padded.
+Ids are encoded once and written. Documents are ordered by content, by four minimum hashes of their terms in which rare
+terms weigh more, so that texts which share rare terms stand together; runs of that order are the shards, each with its
+own BM25 index over token ids, weighted with the whole table's statistics. In a shard, the next unused document is the
+seed of a sequence; the index returns its neighbours for all its terms, and unused ones fill the window best first. The
+document that overruns the window is cut and its rest is the seed of the next sequence, so only a shard's last sequence
+is padded. Neighbours in other shards aren't seen; ``neighbour_recall`` tells how many those are.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,36 +20,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
-from .common import crc32_text, read
+from .common import crc32_text, partitions, read, written
 from .tokens import encoder, token_bytes
 
 LENGTH = 4096
 END_ID = 2
-#: UTF-8 bytes of text in a shard, about: a few hundred sequences.
-SHARD_BYTES = 4 << 20
-#: A seed's query: its terms of greatest weight.
-QUERY_TERMS = 24
+#: Ids in a shard, about: 512 sequences, 6 MB of text.
+SHARD_IDS = 1 << 21
+#: Shards in a partition, about, and the greatest number of partitions unless the session has more.
+PART_SHARDS, MAX_PARTS = 4, 10_000
+#: Minimum hashes of a document's terms, by which documents are ordered.
+HASHES = 4
 K1, B = 1.2, 0.75
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all documents: their number, their ids without the end ids, and for each term the documents that have it."""
+
+    docs: int
+    ids: int
+    df: np.ndarray
+
+    @property
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.docs - self.df + 0.5) / (self.df + 0.5))
+
+    def ranks(self) -> np.ndarray:
+        """Terms' places in HASHES random orders in which a term of weight w comes first with a chance in proportion."""
+        draws = np.random.default_rng(42).random((HASHES, len(self.df)))
+        order = np.argsort(-np.log1p(-draws) / self.idf, axis=1, kind="stable")
+        out = np.empty(order.shape, np.int32)
+        np.put_along_axis(out, order, np.arange(len(self.df), dtype=np.int32)[None], axis=1)
+        return out
+
+
+def _term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, int)
+    return s[first], np.diff(np.r_[first, len(s)])
+
+
 class Bm25Index:
-    """Inverted index of a shard's documents; terms are token ids."""
+    """Inverted index of a shard's documents; terms are token ids. Without ``whole`` the documents are all there are."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], whole: Statistics | None = None) -> None:
         self.n = len(docs)
-        terms, counts, owners = [], [], []
-        for k, ids in enumerate(docs):
-            s = np.sort(ids, kind="stable")
-            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, int)
-            terms.append(s[first])
-            counts.append(np.diff(np.r_[first, len(s)]))
-            owners.append(np.full(len(first), k))
+        pairs = [_term_counts(ids) for ids in docs]
+        terms, counts = [t for t, _ in pairs], [c for _, c in pairs]
+        owners = [np.full(len(t), k) for k, t in enumerate(terms)]
         sizes = np.array([len(d) for d in docs], float)
         term, tf, owner = np.concatenate(terms), np.concatenate(counts).astype(float), np.concatenate(owners)
         self.bounds = np.cumsum([0, *map(len, terms)])
         known, self.slot, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1.0))
+        idf = whole.idf[known] if whole else np.log1p((self.n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * sizes / max(whole.ids / whole.docs if whole else sizes.mean(), 1.0))
         self.weight = (idf[self.slot] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
         self.df = df
         order = np.argsort(self.slot, kind="stable")
@@ -54,13 +82,9 @@ class Bm25Index:
         self.posted, self.posted_weight = owner[order], self.weight[order]
 
     def neighbours(self, k: int) -> np.ndarray:
-        """Documents that share a term of document k's query, best first; equal scores in the documents' order."""
-        own = slice(self.bounds[k], self.bounds[k + 1])
-        slots, weights = self.slot[own], self.weight[own]
-        shared = self.df[slots] > 1
-        slots, weights = slots[shared], weights[shared]
-        if len(slots) > QUERY_TERMS:
-            slots = slots[np.lexsort((slots, -weights))[:QUERY_TERMS]]
+        """Documents that share a term with document k, best first; equal scores in the documents' order."""
+        slots = self.slot[self.bounds[k] : self.bounds[k + 1]]
+        slots = slots[self.df[slots] > 1]
         if not len(slots):
             return np.zeros(0, int)
         spans = [slice(self.starts[s], self.starts[s + 1]) for s in slots.tolist()]
@@ -121,27 +145,89 @@ class Packer:
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack_shard(dtype: str, end_id: int, length: int, with_ids: bool):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("crc", "ascending"), ("ids", "ascending")])
-        end = np.array([end_id], dtype)
-        docs = [np.concatenate([np.frombuffer(b or b"", dtype), end]) for b in table.column("ids").to_pylist()]
-        doc_ids = table.column("doc_id").to_pylist()
-        pieces = Packer([len(d) for d in docs], Bm25Index(docs), length).run()
-        base = key[0].as_py() << 32
-        raws = [docs[k][s : s + n].astype("<u4").tobytes() for k, s, n, _, _ in pieces]
+def _ids_of(column: pa.ChunkedArray | pa.Array, dtype: str) -> list[np.ndarray]:
+    return [np.frombuffer(b or b"", dtype) for b in column.to_pylist()]
+
+
+def _document_frequencies(dtype: str, terms: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, ids = np.zeros(terms, np.int64), 0, 0
+        for batch in batches:
+            for doc in _ids_of(batch.column(0), dtype):
+                df[_term_counts(doc)[0]] += 1
+                docs, ids = docs + 1, ids + len(doc)
+        seen = np.flatnonzero(df)
+        # the terms -1 and -2 stand for documents and ids
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[seen, -1, -2]), pa.array(np.r_[df[seen], docs, ids])], ["term", "n"])
+
+    return run
+
+
+def statistics(docs: DataFrame, dtype: str, terms: int) -> Statistics:
+    """Of the written ids; to the driver come two numbers and one for each term of the vocabulary."""
+    counts = docs.select("ids").mapInArrow(_document_frequencies(dtype, terms), "term long, n long")
+    df, totals = np.zeros(terms, np.int64), {-1: 0, -2: 0}
+    for term, n in counts.groupBy("term").agg(F.sum("n")).collect():
+        if term < 0:
+            totals[term] = n
+        else:
+            df[term] = n
+    return Statistics(totals[-1], totals[-2], df)
+
+
+def _with_keys(dtype: str, ranks: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = _ids_of(batch.column("ids"), dtype)
+            keys = np.full((HASHES, len(docs)), -1, np.int32)
+            held = np.array([k for k, d in enumerate(docs) if len(d)], int)
+            if len(held):
+                ids = np.concatenate(docs)
+                starts = np.cumsum([0] + [len(docs[k]) for k in held[:-1]])
+                for h in range(HASHES):
+                    keys[h, held] = np.minimum.reduceat(ranks[h][ids], starts)
+            names = batch.schema.names + [f"k{h}" for h in range(HASHES)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(k) for k in keys]], names)
+
+    return run
+
+
+def _pack_runs(dtype: str, end_id: int, length: int, shard_ids: int, whole: Statistics, with_ids: bool):
+    """Packs runs of ``shard_ids`` ids of a partition in order; a run is all that is held at once."""
+
+    def pack(part: int, first: int, doc_ids: list, docs: list[np.ndarray]) -> tuple[pa.RecordBatch, int]:
+        # the end ids say nothing, so the index doesn't hold them
+        pieces = Packer([len(d) + 1 for d in docs], Bm25Index(docs, whole), length).run()
+        ended = [np.append(d, np.array([end_id], dtype)) for d in docs]
+        raws = [ended[k][s : s + n].astype("<u4").tobytes() for k, s, n, _, _ in pieces]
+        base = (part << 32) + first
         columns = {
             "doc_id": pa.array([doc_ids[p[0]] for p in pieces], pa.int64()),
             "start": pa.array([p[1] for p in pieces], pa.int64()),
             "length": pa.array([p[2] for p in pieces], pa.int64()),
             "ids_crc32": pa.array([zlib.crc32(r) for r in raws], pa.int64()),
-            "doc_tokens": pa.array([len(docs[p[0]]) for p in pieces], pa.int64()),
+            "doc_tokens": pa.array([len(ended[p[0]]) for p in pieces], pa.int64()),
             "sequence_id": pa.array([base + p[3] for p in pieces], pa.int64()),
             "offset": pa.array([p[4] for p in pieces], pa.int64()),
         }
         if with_ids:
             columns["ids"] = pa.array(raws, pa.binary())
-        return pa.table(columns)
+        return pa.RecordBatch.from_pydict(columns), first + pieces[-1][3] + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, size, doc_ids, docs = 0, 0, 0, [], []
+        for batch in batches:
+            part = batch.column("part")[0].as_py() if len(batch) else part
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                doc_ids.append(doc_id)
+                docs.append(np.frombuffer(ids.as_py() or b"", dtype))
+                size += len(docs[-1]) + 1
+                if size >= shard_ids:
+                    out, first = pack(part, first, doc_ids, docs)
+                    yield out
+                    size, doc_ids, docs = 0, [], []
+        if docs:
+            yield pack(part, first, doc_ids, docs)[0]
 
     return run
 
@@ -153,7 +239,7 @@ def pack_documents(
     text_col: str = "text",
     length: int = LENGTH,
     end_id: int = END_ID,
-    shard_bytes: int = SHARD_BYTES,
+    shard_ids: int = SHARD_IDS,
     with_ids: bool = False,
 ) -> DataFrame:
     """Pieces of all rows of ``df``: each id of each row, and an end id after each row, lies in exactly one piece.
@@ -161,19 +247,38 @@ def pack_documents(
     Null and empty texts hold the end id only. Rows that share an id, repeated rows too, are documents of their own.
     ``with_ids`` adds the pieces' ids as little-endian unsigned 32-bit numbers. An empty table gives no pieces.
     """
-    ensure_shipped(df.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    total = df.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
-    n_shards = max(1, -(-total // shard_bytes))
-    docs = df.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        crc32_text(text_col).alias("crc"),
-        token_bytes(text_col, tokenizer, spaced=False).alias("ids"),
+    spark = df.sparkSession
+    ensure_shipped(spark)
+    enc = encoder(tokenizer, False)
+    dtype = enc.dtype.str
+    docs = written(
+        df.select(
+            F.col(id_col).cast("long").alias("doc_id"),
+            crc32_text(text_col).alias("crc"),
+            token_bytes(text_col, tokenizer, spaced=False).alias("ids"),
+        ),
+        "packing-ids",
     )
-    sharded = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "crc"), F.lit(n_shards)))
-    dtype = encoder(tokenizer, False).dtype.str
+    whole = statistics(docs, dtype, enc.vocabulary)
+    keys = [f"k{h}" for h in range(HASHES)]
+    keyed = docs.mapInArrow(
+        _with_keys(dtype, whole.ranks()), "doc_id long, crc long, ids binary, " + ", ".join(f"{k} int" for k in keys)
+    )
+    parts = -(-(whole.ids + whole.docs) // (shard_ids * PART_SHARDS))
+    parts = max(1, min(parts, max(MAX_PARTS, partitions(spark))))
+    # the last key tells rows apart that are equal in all else, so no group of copies fills a partition
+    order = [*keys, "crc", "doc_id", "row"]
+    runs = keyed.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order)
+    runs = runs.sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "ids")
     schema = _PIECES + (", ids binary" if with_ids else "")
-    return sharded.groupBy("shard").applyInArrow(_pack_shard(dtype, end_id, length, with_ids), schema)
+    return runs.mapInArrow(_pack_runs(dtype, end_id, length, shard_ids, whole, with_ids), schema)
+
+
+def neighbour_recall(docs: list[np.ndarray], shard: np.ndarray, seeds: list[int], k: int) -> float:
+    """Share of the seeds' k best neighbours in an index of all documents that lie in the seed's shard."""
+    index = Bm25Index(docs)
+    best = [(s, [j for j in index.neighbours(s)[: k + 1].tolist() if j != s][:k]) for s in seeds]
+    return float(np.mean([np.mean(shard[near] == shard[s]) for s, near in best if near]))
 
 
 def op7_lexical_packing(spark, sf_dir: str) -> DataFrame:

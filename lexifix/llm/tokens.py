@@ -169,6 +169,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.vocabulary = max(self.tokenizer.get_vocab().values(), default=-1) + 1
         # the same vocabulary and merges for parts that are one pre-token each
         self.plain = Tokenizer.from_file(path)
         if not spaced:

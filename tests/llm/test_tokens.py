@@ -9,9 +9,9 @@ import pytest
 from helpers import no_docs, odd_docs, odd_rows, prose
 from tokenizers import Tokenizer
 
-from lexifix.llm import tokens
+from lexifix.llm import packing, tokens
 from lexifix.llm.common import local_path, shared_dir
-from lexifix.llm.packing import Bm25Index, Packer, pack_documents
+from lexifix.llm.packing import Bm25Index, Packer, neighbour_recall, pack_documents
 from lexifix.llm.token_store import cut_points, merkle_root, read_store, write_store
 from lexifix.llm.tokens import PieceEncoder
 
@@ -89,7 +89,7 @@ def test_empty_store(spark):
 def test_packing(spark):
     want = encoded(WORD, 2)
     for df in (odd_docs(spark), odd_docs(spark, True)):
-        pieces = pack_documents(df, WORD, length=64, shard_bytes=20_000, with_ids=True).collect()
+        pieces = pack_documents(df, WORD, length=64, shard_ids=5_000, with_ids=True).collect()
         documents, sequences = Counter(), {}
         for p in pieces:
             assert crc(np.frombuffer(p.ids, "<u4")) == p.ids_crc32 and len(p.ids) == 4 * p.length
@@ -103,8 +103,8 @@ def test_packing(spark):
             parts.sort(key=lambda p: p.offset)
             assert [p.offset for p in parts] == np.cumsum([0, *(p.length for p in parts)])[:-1].tolist()
             assert sum(p.length for p in parts) <= 64
-        shards = {s >> 32 for s in sequences}
-        assert sum(sum(p.length for p in parts) < 64 for parts in sequences.values()) <= len(shards)
+        parts = {s >> 32 for s in sequences}
+        assert sum(sum(p.length for p in pieces) < 64 for pieces in sequences.values()) <= sum(expected.values()) // 5_000 + len(parts)
         by_id = {i: x for i, x in want if i is not None}
         for p in pieces:
             if p.doc_id is not None:
@@ -116,7 +116,7 @@ def plain_bm25(docs, k):
     n, sizes = len(docs), [len(d) for d in docs]
     df = Counter(t for d in docs for t in set(d))
     w = lambda t, d: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / np.mean(sizes)))
-    terms = sorted((t for t in set(docs[k]) if df[t] > 1), key=lambda t: (-np.float32(w(t, docs[k])), t))[:24]
+    terms = sorted((t for t in set(docs[k]) if df[t] > 1), key=lambda t: (-np.float32(w(t, docs[k])), t))
     return {i: sum(w(t, d) for t in terms if t in d) for i, d in enumerate(docs)}
 
 
@@ -136,3 +136,37 @@ def test_neighbours_share_a_window():
     docs = [np.array(x, "<u2") for x in (a, b, a, b)]
     pieces = Packer([20] * 4, Bm25Index(docs), length=40).run()
     assert {frozenset(p[0] for p in pieces if p[3] == s) for s in (0, 1)} == {frozenset({0, 2}), frozenset({1, 3})}
+
+
+def test_statistics_of_all_documents(spark):
+    dtype = packing.encoder(WORD, False).dtype.str
+    docs = [[1, 1, 5], [5, 9], [], [1]]
+    df = spark.createDataFrame([(bytearray(np.array(d, dtype).tobytes()),) for d in docs], "ids binary").repartition(3)
+    got = packing.statistics(df, dtype, 12)
+    assert (got.docs, got.ids) == (4, 6) and got.df.tolist() == [0, 2, 0, 0, 0, 2, 0, 0, 0, 1, 0, 0]
+
+
+def test_documents_that_share_rare_terms_are_in_one_shard(spark):
+    rng = np.random.default_rng(7)
+    words = sorted(t for t in Tokenizer.from_file(WORD).get_vocab() if t.isascii() and t.isalpha() and len(t) > 4)[:3000]
+    texts = []
+    for _ in range(150):
+        text = rng.choice(words, 120).tolist()
+        texts += [" ".join(text), " ".join([*text[:110], *rng.choice(words, 10)])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    enc = packing.encoder(WORD, False)
+    docs = [np.frombuffer(b, enc.dtype) for b in enc.encode(texts)]
+    pieces = pack_documents(df, WORD, length=512, shard_ids=sum(map(len, docs)) // 32).collect()
+    shard = np.zeros(len(texts), int)
+    for p in pieces:
+        shard[p.doc_id] = p.sequence_id >> 32
+    assert len(set(shard.tolist())) >= 6
+    rare = neighbour_recall(docs, shard, list(range(0, 300, 7)), 1)
+    assert rare > 3 * neighbour_recall(docs, rng.permutation(shard), list(range(0, 300, 7)), 1)
+
+
+def test_many_copies_spread_over_partitions(spark):
+    df = spark.createDataFrame([(i if i % 2 else None, "the same words in every document") for i in range(2000)], "doc_id long, text string")
+    pieces = pack_documents(df, WORD, length=64, shard_ids=500).collect()
+    sizes = Counter(p.sequence_id >> 32 for p in pieces)
+    assert sum(p.length for p in pieces) == 2000 * pieces[0].doc_tokens and max(sizes.values()) < 2 * len(pieces) / len(sizes)
