@@ -32,6 +32,8 @@ PART_SHARDS, MAX_PARTS = 4, 10_000
 #: Minimum hashes of a document's terms, by which documents are ordered.
 HASHES = 4
 K1, B = 1.2, 0.75
+#: A term in over one in this many of a shard's documents is common.
+COMMON = 16
 
 
 @dataclass(frozen=True)
@@ -79,7 +81,14 @@ class Bm25Index:
         self.df = df
         order = np.argsort(self.slot, kind="stable")
         self.starts = np.r_[0, np.cumsum(df)]
-        self.posted, self.posted_weight = owner[order], self.weight[order]
+        self.posted, self.posted_weight = owner[order], self.weight[order].astype(float)
+        # terms that many documents have are rows of a table, at most 4 * COMMON bytes a posting
+        common = np.flatnonzero(df > self.n // COMMON)
+        self.row = np.full(len(df), -1)
+        self.row[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), self.n), np.float32)
+        dense = self.row[self.slot] >= 0
+        self.table[self.row[self.slot[dense]], owner[dense]] = self.weight[dense]
 
     def neighbours(self, k: int) -> np.ndarray:
         """Documents that share a term with document k, best first; equal scores in the documents' order."""
@@ -87,12 +96,12 @@ class Bm25Index:
         slots = slots[self.df[slots] > 1]
         if not len(slots):
             return np.zeros(0, int)
-        spans = [slice(self.starts[s], self.starts[s + 1]) for s in slots.tolist()]
-        score = np.bincount(
-            np.concatenate([self.posted[s] for s in spans]),
-            np.concatenate([self.posted_weight[s] for s in spans]),
-            minlength=self.n,
-        )
+        rows = self.row[slots]
+        score = self.table[rows[rows >= 0]].sum(axis=0, dtype=np.float32).astype(float)
+        spans = [slice(i, j) for i, j in zip(*(self.starts[slots[rows < 0] + e].tolist() for e in (0, 1)))]
+        if spans:
+            owners = np.concatenate([self.posted[s] for s in spans])
+            score += np.bincount(owners, np.concatenate([self.posted_weight[s] for s in spans]), minlength=self.n)
         order = np.argsort(-score, kind="stable")
         return order[: np.count_nonzero(score > 0)]
 
@@ -176,6 +185,8 @@ def statistics(docs: DataFrame, dtype: str, terms: int) -> Statistics:
 
 
 def _with_keys(dtype: str, ranks: np.ndarray):
+    labels = np.random.default_rng(43).permutation(ranks.shape[1]).astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = _ids_of(batch.column("ids"), dtype)
@@ -186,6 +197,8 @@ def _with_keys(dtype: str, ranks: np.ndarray):
                 starts = np.cumsum([0] + [len(docs[k]) for k in held[:-1]])
                 for h in range(HASHES):
                     keys[h, held] = np.minimum.reduceat(ranks[h][ids], starts)
+            # long documents have small ranks: in an order of their own they'd share partitions
+            keys = np.where(keys < 0, keys, labels[keys])
             names = batch.schema.names + [f"k{h}" for h in range(HASHES)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(k) for k in keys]], names)
 
