@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import lookup, read, written
 
-#: Hosts and frequent lines up to these numbers are broadcast (a few MB); beyond, the join shuffles.
+#: Hosts, frequent lines, and frequent lines of one host up to these numbers are broadcast as one list a host (a few MB);
+#: beyond, each text meets only the frequent lines that it has, in shuffled joins.
 BROADCAST_HOSTS = 50_000
 BROADCAST_LINES = 200_000
+HOST_LINES = 256
 
 MAX_SHARE = 0.1
 MIN_DOCS = 20
@@ -35,39 +37,51 @@ def _line_hash(line: str) -> str:
     return f"xxhash64(regexp_replace(lower(trim(BOTH {_TRIM_SQL} FROM {line})), '{_SPACES}', ' '))"
 
 
-def frequent_lines(
-    df: DataFrame, id_col: str, text_col: str, host_col: str, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS
-) -> DataFrame:
-    """One row per host: ``freq``, its frequent lines as (hash, first document's id), and the lines' number.
-
-    A host has at most (distinct lines of a mean document / max_share) of them.
-    """
-    hashed = df.select(
+def _hashed(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """Each row's host, id, text's hash, and the hashes of its distinct lines with a null for the document itself."""
+    lines = f"transform({_lines(f'coalesce(`{text_col}`, "")')}, l -> {_line_hash('l')})"
+    return df.select(
         F.coalesce(F.col(host_col), F.lit("")).alias("_host"),
         F.col(id_col).alias("_id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"),
-        F.expr(
-            f"array_append(array_distinct(transform({_lines(f'coalesce(`{text_col}`, "")')}, l -> {_line_hash('l')})), cast(null as bigint))"
-        ).alias("_hs"),
+        F.expr(f"array_append(array_distinct({lines}), cast(null as bigint))").alias("_hs"),
     )
+
+
+def frequent_lines(hashed: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+    """One row per host and frequent line: its hash, the first document's id and the number of texts with it."""
     # the null line stands for the document itself: its count is the host's number of texts
     counts = (
         hashed.select("_host", "_id", "_text", F.explode("_hs").alias("_h"))
         .groupBy("_host", "_h", "_text")
-        .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .agg(F.min("_id").alias("_first"))
         .groupBy("_host", "_h")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_first"), F.sum("_rows").alias("_rows"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_first"))
         .where(F.col("_h").isNull() | (F.col("_n") >= min_docs))
     )
     counts = written(counts, "line-counts")
-    hosts = counts.where("_h IS NULL").select("_host", F.col("_n").alias("_texts"), F.col("_rows").alias("_host_rows"))
+    hosts = counts.where("_h IS NULL").select("_host", F.col("_n").alias("_texts"))
     lines = lookup(counts.where("_h IS NOT NULL"), hosts, "_host", "_texts", F.col("_h"), keep_weight=True)
     lines = lines.where(F.col("_n") > F.col("_texts") * F.lit(max_share))
-    freq = lines.groupBy("_host").agg(
+    return written(lines.select("_host", "_h", "_first", "_n"), "frequent-lines")
+
+
+def _lines_of_texts(hashed: DataFrame, lines: DataFrame) -> DataFrame:
+    """For each host and text with a frequent line: ``freq``, those it has, and the number of rows with that text.
+
+    Keyed on hashes: where two texts share one, each gets the other's frequent lines too, which it doesn't have.
+    """
+    key = F.concat_ws(":", F.col("_h").cast("string"), "_host").alias("_key")
+    pairs = hashed.select("_host", "_text", F.explode("_hs").alias("_h")).where("_h IS NOT NULL")
+    pairs = pairs.groupBy("_host", "_text", "_h").agg(F.count(F.lit(1)).alias("_rows")).select("*", key)
+    known = lines.select(key, "_first", "_n", F.lit(True).alias("_hit"))
+    found = lookup(pairs, known, "_key", "_n", F.col("_text")).where("_hit")
+    texts = found.groupBy("_host", "_text").agg(
         F.collect_list(F.struct(F.col("_h").alias("h"), F.col("_first").alias("first"))).alias("freq"),
-        F.max("_host_rows").alias("_host_rows"),
+        F.max("_rows").alias("_rows"),
     )
-    return written(freq, "frequent-lines")
+    text_key = F.concat_ws(":", F.col("_text").cast("string"), "_host").alias("_key")
+    return written(texts.select(text_key, "freq", "_rows"), "lines-of-texts")
 
 
 def line_frequency_verdict(
@@ -84,19 +98,23 @@ def line_frequency_verdict(
     A null text counts as empty, a null host as the host with the empty name, a null id as no first document. Empty
     texts have nothing to lose and aren't depleted. Rows that share the smallest id all keep the line.
     """
-    freq = frequent_lines(df, id_col, text_col, host_col, max_share, min_docs)
-    size = freq.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("freq")), F.lit(0))).first()
-    rows = df.withColumn("_host", F.coalesce(F.col(host_col), F.lit("")))
-    if size[0] <= BROADCAST_HOSTS and size[1] <= BROADCAST_LINES:
-        rows = rows.join(F.broadcast(freq.drop("_host_rows")), "_host", "left")
-    else:
-        rows = lookup(rows, freq, "_host", "_host_rows", F.xxhash64(F.col(id_col), F.col(text_col)))
+    hashed = _hashed(df, id_col, text_col, host_col)
+    lines = frequent_lines(hashed, max_share, min_docs)
+    per_host = lines.groupBy("_host").agg(F.count(F.lit(1)).alias("n"))
+    hosts, total, longest = per_host.agg(F.count(F.lit(1)), *[F.coalesce(f("n"), F.lit(0)) for f in (F.sum, F.max)]).first()
     text = f"coalesce(`{text_col}`, '')"
+    host = F.coalesce(F.col(host_col), F.lit(""))
+    if hosts <= BROADCAST_HOSTS and total <= BROADCAST_LINES and longest <= HOST_LINES:
+        freq = lines.groupBy("_host").agg(F.collect_list(F.struct(F.col("_h").alias("h"), F.col("_first").alias("first"))).alias("freq"))
+        rows = df.withColumn("_host", host).join(F.broadcast(freq), "_host", "left").drop("_host")
+    else:
+        keyed = df.withColumn("_key", F.concat_ws(":", F.xxhash64(F.expr(text)).cast("string"), host))
+        rows = lookup(keyed, _lines_of_texts(hashed, lines), "_key", "_rows", F.xxhash64(F.col(id_col), F.col(text_col))).drop("_key")
     # the one-element array binds the hash, so it is computed once a line
     removed = f"transform(array({_line_hash('l')}), h -> exists(freq, f -> f.h = h AND NOT (f.first <=> `{id_col}`)))[0]"
     kept = f"array_join(filter(split({text}, '\\n', -1), l -> NOT (l rlike '{_WORD_CHAR}' AND {removed})), '\\n')"
     rows = rows.withColumn("_kept_text", F.expr(f"CASE WHEN freq IS NULL THEN {text} ELSE {kept} END"))
-    return rows.withColumn("_depleted", F.length("_kept_text") < F.lit(min_left) * F.length(F.expr(text))).drop("freq", "_host")
+    return rows.withColumn("_depleted", F.length("_kept_text") < F.lit(min_left) * F.length(F.expr(text))).drop("freq")
 
 
 def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:

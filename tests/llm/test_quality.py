@@ -38,8 +38,10 @@ def test_frequent_lines_beyond_the_broadcast_limit(spark, monkeypatch):
     df = spark.createDataFrame(hosts(), "doc_id long, text string, lang string, source string, n_chars long")
     key = lambda d: sorted((r.doc_id, r.kept, r._kept_text) for r in d.select("_row.doc_id", "kept", "_kept_text").collect())
     want = key(quality_rules(df))
-    monkeypatch.setattr(line_rules, "BROADCAST_HOSTS", 0)
-    assert key(quality_rules(df)) == want
+    for limit in ("BROADCAST_HOSTS", "HOST_LINES"):
+        with monkeypatch.context() as m:
+            m.setattr(line_rules, limit, 0)
+            assert key(quality_rules(df)) == want
 
 
 def test_odd_documents(spark):
