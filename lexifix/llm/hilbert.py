@@ -9,35 +9,47 @@ sub-bucket, and runs of the order are the shards.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_text, partitions, read, shared_dir
+from .common import crc32_text, partitions, read, shared_dir, written
 
 #: Cells in all, as a power of two.
 CELL_BITS = 15
 #: Rows of a cell that one sub-bucket holds at most, about.
 SUB_ROWS = 50_000
-#: Distinct values of a dimension that its ranges are made from at most, and characters of a value.
-SAMPLE_VALUES = 10_000
-VALUE_CHARS = 64
 
 
 def edges(df: DataFrame, name: str, bits: int) -> list[str]:
-    """Ascending values that part a dimension's rows evenly into 2 ** bits - 2 ranges at most, from the counts of up to
-    SAMPLE_VALUES distinct values (the first by hash), cut to VALUE_CHARS characters."""
-    value = F.substring(F.col(f"`{name}`").cast("string"), 1, VALUE_CHARS).alias("v")
-    counts = df.select(value).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    rows = sorted(map(tuple, counts.orderBy(F.xxhash64("v"), "v").limit(SAMPLE_VALUES).collect()), key=lambda r: r[0].encode())
-    ranges, total, seen, out = (1 << bits) - 1, sum(n for _, n in rows), 0, []
-    if len(rows) <= ranges:
-        return [v for v, _ in rows[1:]]
-    for v, n in rows:
-        if seen * ranges // total > len(out):
-            out.append(v)
-        seen += n
-    return out[: ranges - 1]
+    """Ascending values that part a dimension's rows evenly into 2 ** bits - 1 ranges at most, from the counts of all its
+    whole values. A value with more rows than an even range has counts as one range, so it takes none from the others.
+
+    The values are sorted and summed in parts; the driver gets one value for each range.
+    """
+    ranges = (1 << bits) - 1
+    values = df.select(F.col(f"`{name}`").cast("string").alias("v")).where("v IS NOT NULL")
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    distinct, total = counts.agg(F.count("v"), F.sum("n")).first()
+    if distinct <= ranges:
+        level = F.col("v")
+    else:
+        weight = F.least(F.col("n"), F.lit(-(-total // ranges)))
+        whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        parts = (  # one row per shuffle partition
+            counts.groupBy("part")
+            .agg(F.sum(weight).alias("w"))
+            .select("part", (F.sum("w").over(Window.orderBy("part")) - F.col("w")).alias("skip"), F.sum("w").over(whole).alias("total"))
+        )
+        counts = counts.join(F.broadcast(parts), "part")
+        seen = F.col("skip") + F.sum(weight).over(Window.partitionBy("part").orderBy("v")) - weight
+        counts = counts.withColumn("seen", seen)
+        level = F.expr(f"seen * {ranges} div total")
+    firsts = counts.groupBy(level.alias("level")).agg(F.min("v").alias("v"))
+    return sorted((r.v for r in firsts.collect()), key=str.encode)[1:]
 
 
 def quantise(col: Column, kind: T.DataType, bits: int, bounds: list[str] | None = None) -> Column:
@@ -50,7 +62,11 @@ def quantise(col: Column, kind: T.DataType, bits: int, bounds: list[str] | None
         level = F.when(bounded <= 0, F.lit(0)).otherwise(F.length(F.bin(bounded)))
         return F.coalesce(F.least(level + 1, F.lit(top)), F.lit(0)).cast("int")
     bounds = bounds or []
-    below = sum((F.when(col.cast("string") >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+    mark = uuid.uuid4().hex  # one literal, as thousands of them take the driver long
+    found, value = F.split(F.lit(mark.join(bounds)), mark), col.cast("string")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length())][::-1]).cast("array<int>")
+    # binary search; beyond the last bound get is null
+    below = F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.get(found, n + s - 1) <= value, n + s).otherwise(n))
     return F.when(col.isNull(), F.lit(0)).otherwise(F.floor(below * top / (len(bounds) + 1)) + 1).cast("int")
 
 

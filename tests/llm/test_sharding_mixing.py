@@ -1,4 +1,5 @@
 import math
+from bisect import bisect_right
 from collections import Counter
 from hashlib import md5
 
@@ -84,6 +85,28 @@ def test_order_against_brute_force(spark):
     assert [g[:2] for g in got] == [(s, k) for s in range(8) for k in range(500)]
 
 
+def test_ranges_from_all_values(spark):
+    """More distinct values than a driver should see, alike in their first 80 characters, one of them with many rows."""
+    values = [f"{'x' * 80}{i * 7919 % 30011:05d}" for i in range(30_000)]
+    values += [v for v in values if v[-5:] < "03000"] * 9 + ["y" * 90] * 40_000
+    rng = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, source string")
+    counts, ranges = sorted(Counter(values).items()), 31
+    cap = -(-len(values) // ranges)
+    total, seen, firsts = sum(min(n, cap) for _, n in counts), 0, {}
+    for v, n in counts:
+        firsts.setdefault(seen * ranges // total, v)
+        seen += min(n, cap)
+    bounds = hilbert.edges(rng, "source", 5)
+    assert bounds == list(firsts.values())[1:] and len(bounds) > 28
+    kind = rng.schema["source"].dataType
+    got = rng.select("source", hilbert.quantise(F.col("source"), kind, 5, bounds).alias("c")).distinct().collect()
+    assert all(r.c == bisect_right(bounds, r.source) * 31 // (len(bounds) + 1) + 1 for r in got)
+    sizes = Counter(bisect_right(bounds, v) for v in values)
+    assert max(n for b, n in sizes.items() if b < len(bounds)) <= cap + 10
+    one = hilbert_shards(rng, "doc_id", ["source"], 8).groupBy("shard").agg(F.min("source").alias("a"), F.max("source").alias("b")).orderBy("shard").collect()
+    assert len(one) == 8 and all(x.b <= y.b and x.a <= y.a for x, y in zip(one, one[1:]))
+
+
 def test_ranges_prune(spark):
     df, rows = many(spark)
     ranges = shard_ranges(hilbert_shards(df, "doc_id", DIMS, 32), DIMS).collect()
