@@ -1,11 +1,13 @@
 """Groups of texts whose sets of word shingles have a Jaccard similarity of at least a limit, found exactly.
 
 1. Every text becomes the set of its shingles' 64-bit hashes; the sets lie in files of the shared folder, one per task.
-   Equal sets collapse to one.
-2. Sets of sizes a and b that are similar to t share at least t * max(a, b) shingles. So whatever order the shingles have,
+   Equal sets collapse to one, which has a SimHash fingerprint, the vote of its hashes.
+2. Fingerprints at most 2 bits apart are found by their pivot distances, as in ``simhash.py``. The sets of a component of
+   these links are compared, and those that are similar are a group.
+3. Similar sets may differ in more bits (about 10 at 0.8), which no pivots single out, so an exact way finds the rest. Sets of sizes a and b that are similar to t share at least t * max(a, b) shingles. So whatever order the shingles have,
    each set's first n - ceil(t * n) + 1 ones hold a shared one: only these are dealt out. Shingles that are common in a
    sample of the texts come last in the order, which makes the first ones rare; the order never changes the result.
-3. Sets that meet under a shingle are compared, unless links found before join them already. A set is compared with a
+   Sets that meet under a shingle are compared, unless fingerprints or links found before join them already. A set is compared with a
    group's members only until one is similar, so a large group of near copies costs one comparison a member, about.
 4. Components of the links are the groups.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
 from .common import drop_dir, local_path, lookup, shared_dir, written
-from .simhash import LOWER, components, keep_leads, text_hash
+from .simhash import LOWER, components, fingerprint_links, keep_leads, text_hash, vote
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -88,19 +90,20 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _write_sets(folder: str, shingle: int, similarity: float, common: np.ndarray, ranks: np.ndarray):
-    """(id, text_hash, sig, place, prefix); the file has each set's size and the set."""
+    """(id, text_hash, sig, fp, place, prefix); the file has each set's size and the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().taskAttemptId()  # a repeated task writes a file of its own
         place = task << PLACE_BITS
         with open(f"{folder}/{task}", "wb") as f:
             for batch in batches:
-                sigs, places, firsts = [], [], []
+                sigs, fps, places, firsts = [], [], [], []
                 for text in batch.column(2):
                     own = shingle_set(text.as_py(), shingle)
                     raw = own.tobytes()
                     f.write(len(own).to_bytes(8, "little") + raw)
                     sigs.append(xxhash.xxh64_intdigest(raw, seed=7))
+                    fps.append(vote(raw))
                     places.append(place)
                     firsts.append(_signed(prefix(own, common, ranks, similarity)))
                     place += len(own) + 1
@@ -111,10 +114,11 @@ def _write_sets(folder: str, shingle: int, similarity: float, common: np.ndarray
                         batch.column(0),
                         batch.column(1),
                         pa.array(_signed(np.array(sigs, np.uint64))),
+                        pa.array(_signed(np.array(fps, np.uint64))),
                         pa.array(places, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
                     ],
-                    names=["id", "text_hash", "sig", "place", "prefix"],
+                    names=["id", "text_hash", "sig", "fp", "place", "prefix"],
                 )
 
     return run
@@ -157,12 +161,13 @@ class Linker:
             self.unlike.add(pair)
         return False
 
-    def link(self, places: list[int]) -> Iterator[tuple[int, int]]:
-        """Links that join the similar ones of ``places``, none within a group that is joined already."""
+    def link(self, places: list[int], leads: list[int]) -> Iterator[tuple[int, int]]:
+        """Links that join the similar ones of ``places``, none within a group that is joined already; places with equal
+        ``leads`` are."""
         groups: dict[int, list[int]] = {}
         held: dict[int, np.ndarray] = {}
-        for a in places:
-            own = self.find(a)
+        for a, lead in zip(places, leads):
+            own = self.find(lead)
             for root in list(groups):
                 if root == own or root not in groups:
                     continue
@@ -176,8 +181,12 @@ class Linker:
             groups.setdefault(own, []).append(a)
 
 
-def _similar_links(folder: str, similarity: float):
-    """Rows (s, place) sorted by shingle; the last shingle of a batch waits for the next batch."""
+def _similar_links(folder: str, similarity: float, whole: bool = False):
+    """Rows (s, place, lead) sorted by s, under which sets meet, to links; the last s of a batch waits for the next batch.
+
+    ``lead`` is what to add to a place for that of its group's lead. ``whole``: each place is in one row, the links are
+    from places to their group's lead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict[int, int] = {}
@@ -193,30 +202,33 @@ def _similar_links(folder: str, similarity: float):
 
         linker = Linker(fetch, similarity)
 
-        def solve(s: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def solve(s: np.ndarray, place: np.ndarray, lead: np.ndarray) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(np.diff(s)) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(s)]
             many = ends - starts > 1
             for a, b in zip(starts[many].tolist(), ends[many].tolist()):
-                links = list(linker.link(place[a:b].tolist()))
+                own = place[a:b].tolist()
+                links = list(linker.link(own, (place[a:b] + lead[a:b]).tolist()))
+                if whole:
+                    links = [(p, root) for p in own if (root := linker.find(p)) != p]
                 if links:
                     u, v = zip(*links)
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         try:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                s, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                s, place, lead = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
                 if held and held[-1][0][-1] != s[0]:
                     yield from solve(*map(np.concatenate, zip(*held)))
                     held = []
                 first = int(np.searchsorted(s, s[-1]))
                 if first:
-                    yield from solve(*map(np.concatenate, zip(*held, (s[:first], place[:first]))))
+                    yield from solve(*map(np.concatenate, zip(*held, (s[:first], place[:first], lead[:first]))))
                     held = []
-                held.append((s[first:], place[first:]))
+                held.append((s[first:], place[first:], lead[first:]))
             if held:
                 yield from solve(*map(np.concatenate, zip(*held)))
         finally:
@@ -226,6 +238,18 @@ def _similar_links(folder: str, similarity: float):
     return run
 
 
+def fingerprint_groups(distinct: DataFrame, folder: str, similarity: float) -> DataFrame:
+    """(u, v): distinct sets' places and those of their groups' leads, where pivots link the fingerprints (columns
+    ``place`` and ``fp``) and the sets are similar enough."""
+    fps = written(distinct.select("fp").distinct(), "prints")
+    labels = components(fingerprint_links(fps)).withColumnRenamed("node", "fp")
+    meets = distinct.join(labels, "fp", "left").select(
+        F.coalesce("root", "fp").alias("s"), "place", F.lit(0).cast("long").alias("lead")
+    )
+    meets = meets.repartition("s").sortWithinPartitions("s")
+    return meets.mapInArrow(_similar_links(local_path(folder), similarity, whole=True), "u long, v long")
+
+
 def similar_groups(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -243,15 +267,19 @@ def similar_groups(
     kind = docs.schema["id"].dataType.simpleString()
     sets = docs.mapInArrow(
         _write_sets(local_path(folder), shingle, similarity, common, ranks),
-        f"id {kind}, text_hash long, sig long, place long, prefix array<long>",
+        f"id {kind}, text_hash long, sig long, fp long, place long, prefix array<long>",
     )
     sets = written(sets, "sets")
-    distinct = written(sets.groupBy("sig").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")), "distinct")
-    firsts = sets.select("place", "prefix").join(distinct.select("place"), "place", "left_semi")
-    meets = firsts.select(F.explode("prefix").alias("s"), "place").repartition("s").sortWithinPartitions("s")
+    one = [F.min("fp").alias("fp"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n")]  # fp follows from the set
+    distinct = written(sets.groupBy("sig").agg(*one), "distinct")
+    close = written(fingerprint_groups(distinct, folder, similarity), "close")
+    leads = distinct.join(close, F.col("place") == F.col("u"), "left")
+    leads = leads.select("place", F.coalesce(F.col("v") - F.col("place"), F.lit(0)).alias("lead"))
+    firsts = sets.select("place", "prefix").join(leads, "place")
+    meets = firsts.select(F.explode("prefix").alias("s"), "place", "lead").repartition("s").sortWithinPartitions("s")
     edges = written(meets.mapInArrow(_similar_links(local_path(folder), similarity), "u long, v long"), "similar")
     drop_dir(spark, folder)
-    labels = components(edges).withColumnRenamed("node", "place")
+    labels = components(close.union(edges)).withColumnRenamed("node", "place")
     table = distinct.join(labels, "place", "left").select("sig", "n", F.coalesce("root", "place").alias("root"))
     return lookup(sets.select("id", "text_hash", "sig"), written(table, "groups"), "sig", "n", F.col("text_hash")).drop("sig")
 

@@ -66,6 +66,11 @@ def fingerprint(text: str | None) -> int:
         hashes = _digest(b" ".join(words))
     else:
         hashes = b"".join(map(_digest, map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))))
+    return vote(hashes)
+
+
+def vote(hashes: bytes) -> int:
+    """The bits that over half of the hashes, 8 bytes each, have."""
     n = len(hashes) // 8
     rows = np.frombuffer(hashes, np.uint8).reshape(n, 8)
     counts = np.zeros(64, np.int64)

@@ -181,6 +181,40 @@ def test_similar_texts_against_brute_force(spark, monkeypatch, sample):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(map(min, want.values()))
 
 
+def test_fingerprints_by_pivots_come_first(spark, monkeypatch):
+    """Long texts with few edits are grouped through the pivots; the exact way adds what is further apart."""
+    rnd, texts = random.Random(5), []
+    for base in range(6):
+        words = prose(1500, 300 + base).split()
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3, 20):
+            new = list(words)
+            for _ in range(edits):
+                new[rnd.randrange(len(new))] = f"y{rnd.randrange(9999)}"
+            texts.append(" ".join(new))
+    texts += [prose(50, 400), prose(50, 400) + " end", prose(50, 401)]
+    sets = [near_copies.shingle_set(t) for t in texts]
+    fps = [simhash.vote(s.tobytes()) for s in sets]
+    like = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+    by_bits = [g for g in groups(sorted(set(fps))) if len(g) > 1]
+    assert len(by_bits) > 4 and all(like(sets[fps.index(x)], sets[fps.index(y)]) for g in by_bits for x in g for y in g)
+    seen, keep = [], near_copies.fingerprint_groups
+
+    def spy(distinct, folder, similarity):
+        found = keep(distinct, folder, similarity)
+        fp = {r.place: r.fp % (1 << 64) for r in distinct.collect()}
+        seen.extend((fp[r.u], fp[r.v]) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(near_copies, "fingerprint_groups", spy)
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 30, 5), 30, 32]
+    found = {}
+    for u, v in seen:
+        found.setdefault(v, {v}).add(u)
+    assert sorted(sorted(g) for g in found.values() if len(g) > 1) == by_bits
+
+
 def test_similar_odd_documents(spark):
     for extra in (False, True):
         df = odd_docs(spark, extra)
